@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import langid, packing, quality
+from skein.llm import chat, flac, langid, mixing, packing, quality, warc
 from skein.llm.common import id_bucket
 
 
@@ -19,6 +19,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written, read back, and its payload's digest checked against the header."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    back = warc.read_archive(spark, warc.write_archive(warc.page_records(pages)))
+    response = F.col("warc_type") == "response"
+    page = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1)
+    number = lambda c: F.when(page(c) != "", page(c)).cast("long")
+    digest = F.when(response, F.sha1("payload")).otherwise(F.substring_index("payload_digest", ":", -1))
+    broken = response & (F.concat(F.lit("sha1:"), F.sha1("payload")) != F.col("payload_digest"))
+    return back.select(
+        number("record_id").alias("page_id"),
+        F.when(response, F.length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(broken, F.raise_error(F.lit("a payload differs from its digest")).cast("string")).otherwise(digest).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        number("refers_to").alias("refers_to"),
+    )
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces of at most 1024 tokens with their sequence and offset."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -34,6 +52,33 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as a FLAC stream, decoded again; digests of payload and stream, and features of the samples."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = flac.media_digests(flac.encode_text(docs))
+    return found.drop("media")
+
+
+def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of 150 % of all words takes of every document, at most two epochs of any source."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs, (5.0, 2.0, 1.0), budget_share=1.5, max_epochs=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation as parsed back from its formatted windows, and of the text under the loss mask."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    back = chat.read_chat(chat.format_chat(rows.unionByName(more)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    per = back.select("conv_id", "window", F.size("turns").cast("long").alias("n"), said.alias("said"), F.array_join("loss_texts", "").alias("learned"), F.length("formatted").cast("long").alias("chars"))
+    grouped = per.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sort_array(F.collect_list(F.struct("window", "said", "learned"))).alias("w"), F.sum("chars").alias("formatted_chars"))
+    said, learned = F.array_join(F.col("w.said"), ""), F.array_join(F.col("w.learned"), "")
+    return grouped.select("conv_id", "n_turns", F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from the documents that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
@@ -42,8 +87,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+QUERIES = (op1_warc, op2_best_fit_packing, op3_quality_classifier, op6_media_columns, op7_mixing_sources, op8_chat_formatting, op10_language_id)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_quality_classifier, op10_language_id)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
