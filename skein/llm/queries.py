@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat, flac, langid, mixing, packing, quality, warc
+from skein.llm import chat, embed_dedup, flac, langid, mixing, ngram_join, packing, quality, warc
 from skein.llm.common import id_bucket
 
 
@@ -52,6 +52,17 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more, whole texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return ngram_join.similar_components(docs, words=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors of equal label with a cosine of 0.93 or more."""
+    return embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as a FLAC stream, decoded again; digests of payload and stream, and features of the samples."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -87,7 +98,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = (op1_warc, op2_best_fit_packing, op3_quality_classifier, op6_media_columns, op7_mixing_sources, op8_chat_formatting, op10_language_id)
+QUERIES = (op1_warc, op2_best_fit_packing, op3_quality_classifier, op4_ngram_jaccard, op5_embedding_dedup, op6_media_columns, op7_mixing_sources, op8_chat_formatting, op10_language_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
