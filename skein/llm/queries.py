@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat, embed_dedup, flac, langid, mixing, ngram_join, packing, quality, warc
+from skein.llm import chat, embed_dedup, flac, langid, mixing, ngram_join, packing, quality, suffix_array, warc
 from skein.llm.common import id_bucket
 
 
@@ -90,6 +90,13 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("conv_id", "n_turns", F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every whole text once each byte of a 100-byte string that also starts earlier is removed."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cut = suffix_array.remove_repeats(docs, 100)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from the documents that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
@@ -98,7 +105,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = (op1_warc, op2_best_fit_packing, op3_quality_classifier, op4_ngram_jaccard, op5_embedding_dedup, op6_media_columns, op7_mixing_sources, op8_chat_formatting, op10_language_id)
+QUERIES = (op1_warc, op2_best_fit_packing, op3_quality_classifier, op4_ngram_jaccard, op5_embedding_dedup, op6_media_columns, op7_mixing_sources, op8_chat_formatting, op9_suffix_array_dedup, op10_language_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
