@@ -10,7 +10,9 @@ from skein.sources.staging import stage
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+    """The same rows with ``src`` and ``dst`` exchanged."""
+    other = {"src": "dst", "dst": "src"}
+    return edges.select(*(F.col(c).alias(other.get(c, c)) for c in edges.columns))
 
 
 def undirected(edges: DataFrame) -> DataFrame:
