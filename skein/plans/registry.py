@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("graph_queries",)
+MODULES: tuple[str, ...] = ("graph_queries", "relational_queries", "search_queries")
 
 
 def _modules():
