@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 TOKEN = "[a-z0-9]+"
 K1, B = 1.2, 0.75
 RRF_K = 60
-#: Share of each source in the fusion, by intent.
+#: Weight of each source by intent.
 INTENT_WEIGHTS = {
-    "calls-of": {"bm25": 0.2, "vec": 0.2, "graph": 0.6},
-    "impact": {"bm25": 0.2, "vec": 0.3, "graph": 0.5},
-    "conceptual": {"bm25": 0.3, "vec": 0.6, "graph": 0.1},
-    "ambiguous": {"bm25": 0.4, "vec": 0.4, "graph": 0.2},
+    "calls-of": {"bm25": 0.55, "vec": 0.1, "graph": 0.35, "ce": 0.0},
+    "cross-file-impact": {"bm25": 0.3, "vec": 0.1, "graph": 0.6, "ce": 0.0},
+    "nl-conceptual": {"bm25": 0.2, "vec": 0.5, "graph": 0.0, "ce": 0.3},
+    "ambiguous": {"bm25": 0.5, "vec": 0.5, "graph": 0.0, "ce": 0.0},
 }
+#: Phrases of each intent, in order of precedence, with the confidence of a match.
+INTENT_PHRASES = (
+    ("calls-of", 0.9, ("what calls", "who calls", "callers of", "who invokes", "invokes", "invocations of")),
+    ("cross-file-impact", 0.85, ("what breaks", "safe to change", "breaks if", "impact of", "downstream", "depends on", "affected by", "consumers of", "reverse dep", "files affected")),
+    ("nl-conceptual", 0.8, ("how does", "how do ", "how works", "how is ", "how are ", "architecture", "explain", "where is", "where does", "what is the", "what runs", "walk me through")),
+)
+SURE = 0.7  # under this confidence a query is weighed as ambiguous
 
 
 def tokens(text: str | Column) -> Column:
@@ -76,31 +83,51 @@ def fuse(ranked: DataFrame, weights: dict[str, float] | None = None, k: int = RR
 
 
 def fuse_by_intent(ranked: DataFrame, intents: DataFrame, k: int = RRF_K) -> DataFrame:
-    """As ``fuse``, with the weights of each query's intent (query_id, intent)."""
+    """As ``fuse``, with the weights of each query's intent (query_id, intent, confidence); unsure queries count as
+    ambiguous. Rows of source ``ce`` weigh their ``raw_score`` itself instead of their rank, where that column is there."""
+    name = F.when(F.col("confidence") < SURE, "ambiguous").otherwise(F.col("intent"))
     w = F.lit(0.0)
-    for intent, shares in INTENT_WEIGHTS.items():
-        for name, value in shares.items():
-            w = F.when((F.col("intent") == intent) & (F.col("source") == name), value).otherwise(w)
-    part = ranked.join(intents, "query_id").withColumn("__s", w / (F.lit(k) + F.col("rank")))
-    return part.groupBy("query_id", "key").agg(F.round(F.sum("__s"), 8).alias("score"))
+    for label, shares in INTENT_WEIGHTS.items():
+        for source, value in shares.items():
+            w = F.when((name == label) & (F.col("source") == source), value).otherwise(w)
+    by_rank = w / (F.lit(k) + F.col("rank"))
+    part = by_rank if "raw_score" not in ranked.columns else F.when(F.col("source") == "ce", w * F.col("raw_score")).otherwise(by_rank)
+    scored = ranked.join(intents, "query_id").withColumn("__s", part)
+    return scored.groupBy("query_id", "key").agg(F.round(F.sum("__s"), 8).alias("score"))
 
 
 def intent(query: Column) -> Column:
-    """``calls-of``, ``impact``, ``conceptual`` or ``ambiguous`` by key words, in this order; short queries are ambiguous."""
-    q = F.lower(F.trim(query))
-    return (
-        F.when(q.rlike("who calls|callers of|calls to|called by|uses of"), "calls-of")
-        .when(q.rlike("impact|what breaks|affected by|blast radius|depends on"), "impact")
-        .when(q.rlike("^(how|what|why|where|explain|describe)\\b"), "conceptual")
-        .when(F.size(F.split(q, "\\s+")) <= 2, "ambiguous")
-        .otherwise("conceptual")
-    )
+    """Struct of ``intent, confidence``: the first class with a phrase in the query; else up to two words are ambiguous
+    (0.7), and longer queries conceptual (0.5). Null and blank queries are ambiguous with confidence 0."""
+    q = F.trim(F.lower(F.coalesce(query, F.lit(""))))
+
+    def said(name: str, confidence: float) -> Column:
+        return F.struct(F.lit(name).alias("intent"), F.lit(confidence).alias("confidence"))
+
+    out = F.when(q == "", said("ambiguous", 0.0))
+    for name, confidence, phrases in INTENT_PHRASES:
+        hit = F.lit(False)
+        for p in phrases:
+            hit = hit | q.contains(p)
+        out = out.when(hit, said(name, confidence))
+    return out.when(F.size(F.split(q, "\\s+")) <= 2, said("ambiguous", 0.7)).otherwise(said("nl-conceptual", 0.5))
 
 
 def expand_identifiers(query: Column) -> Column:
-    """The query with the parts of snake, kebab and camel identifiers behind it."""
-    parts = F.lower(F.regexp_replace(F.regexp_replace(query, "([a-z0-9])([A-Z])", "$1 $2"), "[_\\-./]+", " "))
-    return F.when(parts == F.lower(query), query).otherwise(F.concat_ws(" ", query, parts))
+    """Every word of the query, each followed by its parts if it is a snake, kebab or camel identifier."""
+
+    def parts(w: Column, mark: str) -> Column:
+        return F.filter(F.split(w, mark), lambda x: x != "")
+
+    def humps(w: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(w, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
+
+    def one(w: Column) -> Column:
+        split = F.when(F.size(parts(w, "_")) > 1, F.array_join(parts(w, "_"), " ")).when(F.size(parts(w, "-")) > 1, F.array_join(parts(w, "-"), " "))
+        split = split.when(w.rlike("[a-z][A-Z]|[A-Z]{2,}[a-z]"), humps(w))
+        return F.concat_ws(" ", w, split)
+
+    return F.array_join(F.transform(F.filter(F.split(query, "\\s+"), lambda x: x != ""), one), " ")
 
 
 def group_hits(hits: DataFrame, members: DataFrame, groups: int, per_group: int) -> DataFrame:

@@ -80,28 +80,40 @@ def reciprocal_rank_fusion(t: Tables) -> DataFrame:
     return search.fuse(_ranked(t))
 
 
-@query(f"""WITH {FUSED}, i AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN 'calls-of' WHEN 1 THEN 'impact' WHEN 2 THEN 'conceptual' ELSE 'ambiguous' END AS intent FROM benchmark)
-SELECT query_id, key, round(sum(CASE intent || source WHEN 'calls-ofbm25' THEN 0.2 WHEN 'calls-ofvec' THEN 0.2 WHEN 'impactbm25' THEN 0.2 WHEN 'impactvec' THEN 0.3 WHEN 'conceptualbm25' THEN 0.3 WHEN 'conceptualvec' THEN 0.6 ELSE 0.4 END::DOUBLE / (60 + rank)), 8) AS score FROM ranked JOIN i USING (query_id) GROUP BY 1, 2""")
+NAMES = ("calls-of", "cross-file-impact", "nl-conceptual", "ambiguous")
+
+
+@query(f"""WITH {FUSED}, i AS (SELECT item_id AS query_id, CASE WHEN item_id % 5 = 4 THEN 'ambiguous' ELSE list_extract(['calls-of', 'cross-file-impact', 'nl-conceptual', 'ambiguous'], (item_id % 4 + 1)::INT) END AS intent FROM benchmark),
+w AS (SELECT * FROM (VALUES """ + ", ".join(f"('{n}', '{s}', {v}::DOUBLE)" for n in NAMES for s, v in search.INTENT_WEIGHTS[n].items()) + """) x(intent, source, w))
+SELECT query_id, key, round(sum(w / (60 + rank)), 8) AS score FROM ranked JOIN i USING (query_id) JOIN w USING (intent, source) GROUP BY 1, 2""")
 def intent_ensemble(t: Tables) -> DataFrame:
-    """Rank fusion with each query's intent weights."""
-    k = F.col("item_id") % 4
-    i = t.benchmark.select(F.col("item_id").alias("query_id"), F.when(k == 0, "calls-of").when(k == 1, "impact").when(k == 2, "conceptual").otherwise("ambiguous").alias("intent"))
+    """Rank fusion with each query's intent weights; unsure intents are weighed as ambiguous."""
+    k = (F.col("item_id") % 4 + 1).cast("int")
+    sure = F.when(F.col("item_id") % 5 == 4, 0.5).otherwise(0.9)
+    i = t.benchmark.select(F.col("item_id").alias("query_id"), F.element_at(F.array(*map(F.lit, NAMES)), k).alias("intent"), sure.alias("confidence"))
     return search.fuse_by_intent(_ranked(t), i)
 
 
-ASKED = ["who calls parseFile", "what breaks if I change order_total", "how does login work", "userService", "retry queue", "list all open http-handlers now", "blast radius of Engine.run", "callers of Foo"]
+ASKED = ["who calls parseFile", "what breaks if I change order_total", "how does login work", "userService", "retry queue", "list all open http-handlers now", "impact of Engine.run", "callers of URLParser", "explain __init__", "architecture"]
+
+
+def _phrases(k: int) -> str:
+    return " OR ".join(f"contains(trim(lower(q)), '{p}')" for p in search.INTENT_PHRASES[k][2])
 
 
-@query("SELECT q AS query, CASE WHEN regexp_matches(lower(q), 'who calls|callers of|calls to|called by|uses of') THEN 'calls-of' WHEN regexp_matches(lower(q), 'impact|what breaks|affected by|blast radius|depends on') THEN 'impact' WHEN regexp_matches(lower(q), '^(how|what|why|where|explain|describe)\\b') THEN 'conceptual' WHEN len(string_split(q, ' ')) <= 2 THEN 'ambiguous' ELSE 'conceptual' END AS intent FROM (VALUES "
-       + ", ".join(f"('{q}')" for q in ASKED) + ") x(q)")
+@query(f"SELECT q AS query, CASE WHEN {_phrases(0)} THEN 'calls-of' WHEN {_phrases(1)} THEN 'cross-file-impact' WHEN {_phrases(2)} THEN 'nl-conceptual' WHEN len(string_split(q, ' ')) <= 2 THEN 'ambiguous' ELSE 'nl-conceptual' END AS intent, "
+       f"CASE WHEN {_phrases(0)} THEN 0.9 WHEN {_phrases(1)} THEN 0.85 WHEN {_phrases(2)} THEN 0.8 WHEN len(string_split(q, ' ')) <= 2 THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence FROM (SELECT text AS q FROM benchmark UNION ALL VALUES " + ", ".join(f"('{q}')" for q in ASKED) + ") x")
 def intent_classifier(t: Tables) -> DataFrame:
-    """Intents of a list of questions."""
-    return t.spark.createDataFrame([(q,) for q in ASKED], "query string").withColumn("intent", search.intent(F.col("query")))
+    """Intents of a list of questions and of all benchmark texts."""
+    q = t.spark.createDataFrame([(q,) for q in ASKED], "query string").unionByName(t.benchmark.select(F.regexp_replace("text", "[ ]+", " ").alias("query")))
+    return q.select("query", search.intent(F.col("query")).alias("i")).select("query", "i.intent", "i.confidence")
 
 
-@query("SELECT q AS query, CASE WHEN e = lower(q) THEN q ELSE q || ' ' || e END AS expanded FROM (SELECT q, lower(regexp_replace(regexp_replace(q, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_./-]+', ' ', 'g')) AS e FROM (VALUES " + ", ".join(f"('{q}')" for q in ASKED) + ") x(q))")
+@query("SELECT q AS query, string_agg(CASE WHEN s IS NULL THEN w ELSE w || ' ' || s END, ' ' ORDER BY k) AS expanded FROM (SELECT q, w, k, CASE WHEN len(list_filter(string_split(w, '_'), lambda x: x <> '')) > 1 THEN array_to_string(list_filter(string_split(w, '_'), lambda x: x <> ''), ' ') "
+       "WHEN len(list_filter(string_split(w, '-'), lambda x: x <> '')) > 1 THEN array_to_string(list_filter(string_split(w, '-'), lambda x: x <> ''), ' ') WHEN regexp_matches(w, '[a-z][A-Z]|[A-Z]{2,}[a-z]') THEN regexp_replace(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g') END AS s "
+       "FROM (SELECT q, unnest(string_split(q, ' ')) AS w, generate_subscripts(string_split(q, ' '), 1) AS k FROM (VALUES " + ", ".join(f"('{q}')" for q in ASKED) + ") x(q))) GROUP BY q")
 def query_expansion(t: Tables) -> DataFrame:
-    """Identifier parts behind each query."""
+    """Identifier parts behind each word of a query."""
     return t.spark.createDataFrame([(q,) for q in ASKED], "query string").withColumn("expanded", search.expand_identifiers(F.col("query")))
 
 
