@@ -207,3 +207,24 @@ def test_phases_order_cycle_and_dropping():
         phases.ordered([P("x", None, ("y",)), P("y", None, ("x",))])
     with pytest.raises(ValueError, match="no phase"):
         phases.ordered([P("x", None, ("q",))])
+
+
+def test_result_cache():
+    from skein.operators.analysis import ResultCache
+
+    now = [0.0]
+    c = ResultCache(ttl=10, size=2, clock=lambda: now[0])
+    c.put("a", 1, version=1)
+    assert c.get("a", 1) == ("hit", 1) and c.get("a", 2) == ("stale", None) and c.get("b") == ("miss", None)
+    now[0] = 11
+    assert c.get("a", 1) == ("expired", None)
+    for k in "xyz":
+        c.put(k, k)
+    assert c.get("x") == ("miss", None) and c.get("z") == ("hit", "z")
+
+
+def test_method_overrides(spark):
+    from skein.plans import analysis_queries
+
+    got = {tuple(r) for r in analysis_queries.QUERIES["method_overrides"](spark, "").collect()}
+    assert got == {("A", "run", "B"), ("B", "run", "D"), ("C", "stop", "D"), ("X", "go", "Y"), ("Y", "go", "Z")}
