@@ -1,51 +1,14 @@
-"""Helpers shared by the training-data operators: staging in the cluster's shared folder and hash splits."""
+"""Helpers shared by the training-data operators: staged tables, hash splits, schemas."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from skein.sources.staging import discard, new_folder, shared_dir, stage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder is
-    made and set for the session.
-    """
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if got:
-        return got.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held:
-        return held.rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/skein/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here and survives lost executors.
-
-    The shuffles behind it become garbage, so the driver's collector is asked to let Spark's cleaner drop their files.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
+__all__ = ["discard", "id_bucket", "new_folder", "shared_dir", "stage", "with_fields"]
 
 
 def id_bucket(column: str | Column, n: int) -> Column:
