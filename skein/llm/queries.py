@@ -112,5 +112,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
+OP1_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+h AS (SELECT d, max(page_id) AS head FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest, CASE WHEN head > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN head > page_id THEN head END AS refers_to FROM p LEFT JOIN h ON h.d = p.d AND n >= 1000"""
+
+OP5_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), g AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b), low AS (SELECT a, min(b) AS m FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(low.m, v.vec_id)) AS component_id, v.vec_id <= coalesce(low.m, v.vec_id) AS kept FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN low ON low.a = v.vec_id"""
+
+OP8_SQL = """WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+a AS (SELECT *, (ceil(length(text) / 4.0) + 4)::BIGINT AS tokens, row_number() OVER o AS idx FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+b AS (SELECT *, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY idx) - tokens)::BIGINT AS before, coalesce(max(CASE WHEN idx = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id), 0) AS st, max(CASE WHEN idx = 1 AND role = 'system' THEN text END) OVER (PARTITION BY conv_id) AS sys FROM a),
+d AS (SELECT *, greatest(1.0, (2048.0 - 256 - st) / 2)::DOUBLE AS half FROM b), e AS (SELECT *, tokens > half AS long, floor(before / half)::BIGINT AS cell FROM d),
+f AS (SELECT *, sum((long OR coalesce(lag_long, false))::INT) OVER (PARTITION BY conv_id ORDER BY idx) AS seg FROM (SELECT *, lag(long) OVER (PARTITION BY conv_id ORDER BY idx) AS lag_long FROM e)),
+g AS (SELECT *, sum(coalesce((seg <> ls OR cell <> lc)::INT, 0)) OVER (PARTITION BY conv_id ORDER BY idx) AS win FROM (SELECT *, lag(seg) OVER w AS ls, lag(cell) OVER w AS lc FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY idx))),
+h AS (SELECT *, max(before + tokens) OVER (PARTITION BY conv_id, win) - before AS to_end, min(idx) OVER (PARTITION BY conv_id, win) = idx AS opens, max(win) OVER (PARTITION BY conv_id) AS last_win,
+  length(replace(replace(replace(text, chr(92), chr(92) || 'e'), '<', chr(92) || 'l'), '[', chr(92) || 'b')) + length(replace(replace(replace(replace(role, chr(92), chr(92) || 'e'), '<', chr(92) || 'l'), '[', chr(92) || 'b'), chr(10), chr(92) || 'n')) + 24 AS chars FROM g),
+s AS (SELECT conv_id, chars AS sys_chars FROM h WHERE idx = 1 AND role = 'system'),
+k AS (SELECT h.*, chars + CASE WHEN to_end <= 256 AND win < last_win AND NOT (idx = 1 AND role = 'system') THEN chars ELSE 0 END + CASE WHEN opens AND win > 0 THEN coalesce(sys_chars, 0) ELSE 0 END AS shown FROM h LEFT JOIN s USING (conv_id))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY idx) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(shown)::BIGINT AS formatted_chars FROM k GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express on whole tables; the others are tested against brute force."""
+    return {"op1_warc": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op8_chat_formatting": OP8_SQL}

@@ -207,11 +207,11 @@ class Member:
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict, names: list[str]):
         self.path, self.names = options["path"], names
-        self.split = int(options.get("splitBytes", 64 << 20))
+        self.split = int(options.get("splitbytes", 64 << 20))
         self.with_payload = options.get("payload", "true").lower() != "false"
         self.wanted: dict[str, set] = {}
-        if options.get("recordTypes"):
-            self.wanted["warc_type"] = set(options["recordTypes"].split(","))
+        if options.get("recordtypes"):
+            self.wanted["warc_type"] = set(options["recordtypes"].split(","))
 
     def pushFilters(self, filters):
         """Equality and IN on header columns are taken; Spark keeps the rest."""
