@@ -24,10 +24,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(now.select(F.col("v").alias("a"), F.col("u").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = stage(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        now = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
