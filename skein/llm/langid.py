@@ -21,6 +21,7 @@ from skein.llm.textbatch import code_points, filled, slices, split_words, sum_by
 
 MARK = "▁"  # the vocabulary's sign for the start of a word
 UNDETERMINED = "und"
+FIT_WORDS = 10_000
 SCHEMA = "lang_pred string, score double"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -214,29 +215,32 @@ def fit(texts: list[str], langs: list[str], pieces: list[str], rounds: int = 3,
             if len(w) <= longest_word:
                 per_lang.setdefault(w, np.zeros(len(names)))[k] += n
     prob = np.full((len(pieces) + 1, max(1, len(names))), 1.0 / (len(pieces) + 1))
-    if per_lang:
-        weight = np.array(list(per_lang.values()))
-        lattice = Lattice.build(trie, pa.array(list(per_lang), pa.string()))
-        for _ in range(rounds):
-            uses = lattice.expected(prob, weight) + smoothing
-            prob = uses / uses.sum(axis=0)
+    words = list(per_lang)
+    for _ in range(rounds if words else 0):
+        uses = np.full_like(prob, smoothing)
+        for a in range(0, len(words), FIT_WORDS):  # lattices of some words at a time bound the memory
+            some = words[a : a + FIT_WORDS]
+            uses += Lattice.build(trie, pa.array(some, pa.string())).expected(prob, np.array([per_lang[w] for w in some]))
+        prob = uses / uses.sum(axis=0)
     return LanguageModel(names, trie, prob)
 
 
-def fit_from(docs: DataFrame, vocabulary_path: str, max_docs_per_lang: int = 300, max_chars: int = 4_000_000) -> LanguageModel:
+def fit_from(docs: DataFrame, vocabulary_path: str, max_docs_per_lang: int = 300, max_chars: int = 2_000_000, max_langs: int = 1000) -> LanguageModel:
     """Fit on a bounded sample of the labelled rows of ``docs`` (text, lang).
 
-    The sample: in the order of a hash of the text, up to ``max_docs_per_lang`` whole texts of each language, as long
-    as all together stay within ``max_chars`` characters. Both bounds are parameters; only the fit is sampled.
+    The sample: in the order of a hash of the text, up to ``max_docs_per_lang`` whole texts of each of the ``max_langs``
+    most frequent languages, as long as a language's stay within its even share of ``max_chars`` characters. The bounds
+    are parameters; only the fit is sampled. Texts are filtered where they are read: none is shuffled but the sample's.
     """
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
-    n_lang = own.agg(F.approx_count_distinct("lang")).first()[0]
-    each = max(1_000, max_chars // max(1, n_lang))
+    cut = own.withColumn("h", F.xxhash64("text"))
+    sizes = cut.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    each = max(1_000, max_chars // max(1, len(sizes)))
+    if not sizes:
+        return fit([], [], vocabulary(vocabulary_path))
     # a range of the hash order that surely holds enough different texts of each language; copies count once
-    cut = own.where(F.length("text") <= each).select("lang", "text", F.xxhash64("text").alias("h"))
-    size = cut.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
-    share = size.select("lang", F.least(F.lit(1.0), F.lit(2.0 * max_docs_per_lang) / F.col("n")).alias("share"))
-    near = cut.join(share, "lang").where(F.pmod(F.col("h"), F.lit(1_000_000)) < F.ceil(F.col("share") * 1_000_000))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, int(min(1.0, 2.0 * max_docs_per_lang / r.n) * 1_000_000) + 1)])
+    near = cut.where((F.pmod(F.col("h"), F.lit(1_000_000)) < share[F.col("lang")]) & (F.length("text") <= each))
     rows = near.groupBy("lang", "h").agg(F.min("text").alias("text")).toPandas().sort_values(["lang", "h"], kind="stable")
     rows = rows[rows.groupby("lang").cumcount() < max_docs_per_lang]
     rows = rows[rows["text"].str.len().groupby(rows["lang"]).cumsum() <= each]
