@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.operators import analysis, hierarchy, joins, packing, rank, search, textops, traversal
-from skein.plans.graph_queries import FLOW_STEPS, _top_sources
+from skein.plans.graph_queries import FLOW_STEPS, _top_sources, whole_graph
 from skein.plans.search_queries import VEC
 from skein.plans.state_queries import CLASSES, METHODS
 from skein.sources import graph as G
@@ -111,6 +111,9 @@ def maximal_flows(t: Tables) -> DataFrame:
     return analysis.maximal_paths(traversal.flows(s, entries, 4, 6, 3, 12)).select(F.array_join("path", ">").alias("path"))
 
 
+whole_graph(maximal_flows, QUERIES, SQL)
+
+
 @query()
 def method_overrides(t: Tables) -> DataFrame:
     """Which inherited method each own method overrides."""

@@ -25,6 +25,18 @@ def query(sql: str | None = None):
     return add
 
 
+def whole_graph(f, queries: dict, sql: dict[str, str], slow: bool = False) -> None:
+    """Registers ``f`` once more as ``<name>_whole``: on all part-to-part edges, not only those seen twice.
+
+    Its SQL is the one of ``f`` without the filter; ``slow`` gives none, as it would list all pairs of nodes.
+    """
+    name = f"{f.__name__}_whole"
+    queries[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir, least_weight=1))
+    queries[name].__doc__ = f"{f.__doc__} Here with all edges, also those seen once."
+    if not slow:
+        sql[name] = sql[f.__name__].replace(" WHERE weight >= 2", "")
+
+
 def _r(c, n: int = 6):
     return F.round(c, n)
 
@@ -476,5 +488,11 @@ def ancestors(t: Tables) -> DataFrame:
     return traversal.bfs(parent, seeds, 8).where("depth > 0").select(F.col("seed").alias("id"), F.col("id").alias("ancestor"), F.col("depth").cast("int").alias("depth"))
 
 
+for _f in (dead_code, find_related, reachability_closure, neighbourhood_two_hops, execution_flows, flow_steps, pagerank_global, document_walk, communities, community_cohesion, community_modularity, surprising_connections):
+    whole_graph(_f, QUERIES, SQL)
+for _f in (connected_components, strongly_connected, cycle_summary, topological_levels):
+    whole_graph(_f, QUERIES, SQL, slow=True)
+
+
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return QUERIES[name](spark, sf_dir)

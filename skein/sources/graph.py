@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Tables:
-    """The Parquet tables of one folder, read when asked for; Catalyst prunes columns and pushes filters into the scans."""
+    """The Parquet tables of one folder, read when asked for; Catalyst prunes columns and pushes filters into the scans.
+
+    ``least_weight`` is the weight from which ``strong`` keeps an edge; at 1 it keeps all.
+    """
 
     spark: SparkSession
     folder: str
+    least_weight: int = 2
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -106,8 +110,8 @@ FOLLOWS_SQL = """follows AS (
 
 
 def strong(t: Tables) -> DataFrame:
-    """The part-to-part edges that were seen at least twice."""
-    return follows(t).where("weight >= 2")
+    """The part-to-part edges that were seen at least ``t.least_weight`` times: twice, unless the tables say else."""
+    return follows(t).where(F.col("weight") >= t.least_weight)
 
 
 STRONG_SQL = FOLLOWS_SQL + ", strong AS (SELECT * FROM follows WHERE weight >= 2)"
