@@ -188,6 +188,25 @@ def impact_batch_shared(t: Tables) -> DataFrame:
     return reached.groupBy("id").agg(F.count_distinct("seed").alias("hits"), F.min("depth").alias("depth")).where("hits > 1")
 
 
+def _upstream_whole(t: Tables) -> DataFrame:
+    f = G.follows(t)
+    seeds = _top_sources(f, 5).select(F.col("id").alias("seed"), "id")
+    return traversal.bfs(traversal.reversed_edges(f), seeds, 3)
+
+
+@query()
+def impact_risk_whole(t: Tables) -> DataFrame:
+    """Upstream impact of the five busiest parts within three hops, with risk classes; ``impact_risk`` stops at one hop."""
+    return traversal.impact_summary(_upstream_whole(t), G.nodes(t).where("label = 'Part'").select("id", "grp"))
+
+
+@query()
+def impact_batch_shared_whole(t: Tables) -> DataFrame:
+    """Nodes that more than one of several seeds reach within three hops; ``impact_batch_shared`` stops at one hop."""
+    reached = _upstream_whole(t).where("depth > 0")
+    return reached.groupBy("id").agg(F.count_distinct("seed").alias("hits"), F.min("depth").alias("depth")).where("hits > 1")
+
+
 PATHS = f"""WITH RECURSIVE {FOLLOWS_SQL}, {SEED}, cut AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM follows) WHERE r <= 10),
 walk AS (SELECT id, 0 AS depth FROM seed UNION SELECT c.dst, depth + 1 FROM walk JOIN cut c ON c.src = walk.id WHERE depth < 3),
 reached AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"""
