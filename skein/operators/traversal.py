@@ -65,13 +65,16 @@ def impact_summary(reached: DataFrame, groups: DataFrame) -> DataFrame:
     return per.withColumn("risk", risk_level(F.col("direct"), F.lit(0), F.col("modules"), F.col("total")))
 
 
-def strongest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, per_node: int = 50) -> DataFrame:
+def strongest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, per_node: int | None = None) -> DataFrame:
     """``seed, id, depth, score``: hop distance and edge weight over depth of the best edge at that distance.
 
-    ``edges`` has ``src, dst, weight``; each node follows its ``per_node`` heaviest edges.
+    ``edges`` has ``src, dst, weight``; each node follows all of its edges, or its ``per_node`` heaviest if that is given.
     """
-    best = W.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    cut = stage(edges.withColumn("r", F.row_number().over(best)).where(F.col("r") <= per_node).select("src", "dst", "weight"), "paths")
+    cut = edges
+    if per_node is not None:
+        best = W.partitionBy("src").orderBy(F.desc("weight"), "dst")
+        cut = edges.withColumn("r", F.row_number().over(best)).where(F.col("r") <= per_node)
+    cut = stage(cut.select("src", "dst", "weight"), "paths")
     reached = bfs(cut, seeds, max_depth)
     back = reached.select("seed", F.col("id").alias("src"), (F.col("depth") + 1).alias("depth"))
     hits = back.join(cut, "src").select("seed", F.col("dst").alias("id"), "depth", "weight")

@@ -221,6 +221,14 @@ def graph_path_scores(t: Tables) -> DataFrame:
     return traversal.strongest_paths(f, seeds, 3, 10).select("id", F.col("depth").cast("int").alias("depth"), _r("score").alias("score"))
 
 
+@query()
+def graph_path_scores_whole(t: Tables) -> DataFrame:
+    """Ranked paths from one node over all edges within four hops; ``graph_path_scores`` follows ten a node, three hops."""
+    f = G.follows(t)
+    seeds = _top_sources(f, 1).select(F.lit(0).alias("seed"), "id")
+    return traversal.strongest_paths(f, seeds, 4).select("id", F.col("depth").cast("int").alias("depth"), _r("score").alias("score"))
+
+
 @query(f"""WITH {FOLLOWS_SQL}, {SEED}, one AS (SELECT dst AS id, min(1.0 / weight) AS distance FROM follows WHERE src IN (SELECT id FROM seed) GROUP BY dst),
 two AS (SELECT f.dst AS id, min(distance + 1.0 / f.weight) AS distance FROM one JOIN follows f ON f.src = one.id GROUP BY f.dst)
 SELECT id, round(min(distance), 6) AS distance, round(1 / min(distance), 6) AS score FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE id NOT IN (SELECT id FROM seed) GROUP BY id""")
