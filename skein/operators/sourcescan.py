@@ -62,8 +62,11 @@ def _lock_orders(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"file": pdf["file"].iloc[0], "outer": [a for a, _ in out], "inner": [b for _, b in out]})
 
 
-def taint(lines: DataFrame, sources: str, sanitizers: str, sinks: str, most: int = 100) -> DataFrame:
-    """``file, source_line, sink_line, variable``: values of a source call that reach a sink without a sanitizer."""
+def taint(lines: DataFrame, sources: str, sanitizers: str, sinks: str, most: int | None = None) -> DataFrame:
+    """``file, source_line, sink_line, variable``: values of a source call that reach a sink without a sanitizer.
+
+    If ``most`` is given, the first of each file.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         dirty: dict[str, int] = {}
@@ -111,10 +114,12 @@ def fault_branches(lines: DataFrame, call: str, after: int = 10) -> DataFrame:
     return rows.select("file", "line_no", "result", guarded.alias("guarded"), F.col("__next").rlike(r"\breturn\b").alias("returns"))
 
 
-def rule_hits(lines: DataFrame, rules: list[tuple[str, str, str]], most: int = 50) -> DataFrame:
-    """``category, rule, file, line_no`` of rules (category, name, pattern), the first ``most`` per category."""
+def rule_hits(lines: DataFrame, rules: list[tuple[str, str, str]], most: int | None = None) -> DataFrame:
+    """``category, rule, file, line_no`` of rules (category, name, pattern); if ``most`` is given, the first per category."""
     hits = F.array_compact(F.array(*[F.when(F.col("line").rlike(p), F.struct(F.lit(c).alias("category"), F.lit(n).alias("rule"))) for c, n, p in rules]))
     r = lines.select("file", "line_no", F.explode(hits).alias("h")).select("h.category", "h.rule", "file", "line_no")
+    if most is None:
+        return r
     w = W.partitionBy("category").orderBy("file", "line_no", "rule")
     return r.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
 
@@ -126,10 +131,11 @@ def pressure(lines: DataFrame, limits: str, uses: str) -> DataFrame:
     return a.join(b, "name")
 
 
-def boundary_segments(facts: DataFrame, most: int = 50) -> DataFrame:
-    """``trace, segment, kind, at``: handoff facts (trace, kind, at) in order, numbered."""
+def boundary_segments(facts: DataFrame, most: int | None = None) -> DataFrame:
+    """``trace, segment, kind, at``: handoff facts (trace, kind, at) in order, numbered; if ``most`` is given, the first of each trace."""
     w = W.partitionBy("trace").orderBy("at", "kind")
-    return facts.withColumn("segment", F.row_number().over(w)).where(F.col("segment") <= most).select("trace", "segment", "kind", "at")
+    out = facts.withColumn("segment", F.row_number().over(w)).select("trace", "segment", "kind", "at")
+    return out if most is None else out.where(F.col("segment") <= most)
 
 
 def coverage(findings: DataFrame, files: DataFrame, analyzers: list[str]) -> DataFrame:

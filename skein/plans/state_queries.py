@@ -169,9 +169,18 @@ def systems_rules(t: Tables) -> DataFrame:
 
 @query("SELECT user_id AS trace, segment::INT AS segment, event_type AS kind, event_id AS at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id, event_type) AS segment FROM events WHERE event_type IN ('click', 'purchase')) WHERE segment <= 50")
 def boundary_trace(t: Tables) -> DataFrame:
-    """Handoffs in order, numbered per trace."""
-    facts = t.events.where(F.col("event_type").isin("click", "purchase")).select(F.col("user_id").alias("trace"), F.col("event_type").alias("kind"), F.col("event_id").alias("at"))
-    return sourcescan.boundary_segments(facts)
+    """Handoffs in order, numbered per trace: the first 50 of each."""
+    return sourcescan.boundary_segments(_handoffs(t), 50)
+
+
+@query()
+def boundary_trace_whole(t: Tables) -> DataFrame:
+    """All handoffs in order, numbered per trace; ``boundary_trace`` stops at 50."""
+    return sourcescan.boundary_segments(_handoffs(t))
+
+
+def _handoffs(t: Tables) -> DataFrame:
+    return t.events.where(F.col("event_type").isin("click", "purchase")).select(F.col("user_id").alias("trace"), F.col("event_type").alias("kind"), F.col("event_id").alias("at"))
 
 
 @query("SELECT source AS file, count(*) FILTER (quality = 0) AS low, count(*) FILTER (quality = 1) AS good FROM (SELECT DISTINCT source FROM documents) LEFT JOIN (SELECT source AS s, quality FROM documents JOIN labels USING (doc_id)) ON s = source GROUP BY 1")
