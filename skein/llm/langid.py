@@ -205,15 +205,15 @@ class LanguageModel:
 
 
 def fit(texts: list[str], langs: list[str], pieces: list[str], rounds: int = 3, smoothing: float = 0.05, longest_word: int = 40) -> LanguageModel:
-    """Expectation maximisation over the words of the given texts. Words over ``longest_word`` characters teach nothing."""
+    """Expectation maximisation over the words of the given texts. Words over ``longest_word`` characters are cut into such stretches."""
     names = sorted(set(langs))
     trie = Trie.build(pieces)
     per_lang: dict[str, np.ndarray] = {}
     for k, lang in enumerate(names):
         words, index, _ = split_words(pa.array([t for t, g in zip(texts, langs, strict=True) if g == lang], pa.string()))
         for w, n in zip(words.to_pylist(), np.bincount(index, minlength=len(words)).tolist(), strict=True):
-            if len(w) <= longest_word:
-                per_lang.setdefault(w, np.zeros(len(names)))[k] += n
+            for a in range(0, len(w), longest_word):
+                per_lang.setdefault(w[a : a + longest_word], np.zeros(len(names)))[k] += n
     prob = np.full((len(pieces) + 1, max(1, len(names))), 1.0 / (len(pieces) + 1))
     words = list(per_lang)
     for _ in range(rounds if words else 0):
