@@ -6,7 +6,7 @@ import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_POWERS: dict[str, np.ndarray] = {}
+CHUNK = 1 << 20  # bytes or words worked through at a time: bounds what one very long text needs
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -16,38 +16,49 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the base and of its inverse modulo 2^64."""
-    if len(_POWERS.get("base", ())) <= n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        m = max(n + 1, 1 << 16)
-        for name, b in (("base", _BASE), ("inverse", inverse)):
-            _POWERS[name] = np.cumprod(np.r_[np.uint64(1), np.full(m, b, np.uint64)])
-    return _POWERS["base"], _POWERS["inverse"]
+def _power(base: int, n: int) -> np.uint64:
+    return np.uint64(pow(base, n, 1 << 64))
+
+
+_INVERSE = pow(int(_BASE), -1, 1 << 64)
+_UP, _DOWN = (np.cumprod(np.r_[np.uint64(1), np.full(CHUNK, b, np.uint64)]) for b in (_BASE, np.uint64(_INVERSE)))
 
 
 def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of every text in order, A-Z lowered, and the number of words of each text.
 
-    A word is a run of bytes other than blank and the controls 9 to 13; texts are the ranges between ``at``.
+    A word is a run of bytes other than blank and the controls 9 to 13; texts are the ranges between ``at``. The prefix
+    sums behind the hashes run over the bytes in chunks, so a very long text or word costs a few bytes a byte.
     """
-    n = len(at) - 1
-    low = raw + np.where((raw >= 65) & (raw <= 90), np.uint8(32), np.uint8(0)).astype(np.uint8)
+    low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
     inside = ~((low == 32) | ((low >= 9) & (low <= 13)))
     fresh = inside.copy()
     fresh[1:] &= ~inside[:-1]
     edge = at[:-1][at[:-1] < at[1:]]
     fresh[edge] = inside[edge]
     starts = np.flatnonzero(fresh)
-    last = inside.copy()
-    last[:-1] &= ~inside[1:] | fresh[1:]
-    ends = np.flatnonzero(last) + 1
+    inside[:-1] &= ~inside[1:] | fresh[1:]  # now the last byte of each word
+    ends = np.flatnonzero(inside) + 1
+    del inside, fresh
+    h = np.zeros(len(starts), np.uint64)
+    total = np.uint64(0)  # of all bytes before the chunk
     with np.errstate(over="ignore"):
-        up, down = _powers(len(raw))
-        sums = np.r_[np.uint64(0), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])]
-        h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
-    counts = np.diff(np.searchsorted(starts, at))
-    return h, counts[:n]
+        for a in range(0, len(low), CHUNK):
+            part = low[a : a + CHUNK]
+            sums = np.r_[np.uint64(0), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _UP[: len(part)])]
+            sums = sums * _power(int(_BASE), a) + total
+            i, j = np.searchsorted(starts, (a, a + len(part)))
+            h[i:j] -= sums[starts[i:j] - a]
+            i, j = np.searchsorted(ends, (a, a + len(part)), side="right")
+            h[i:j] += sums[ends[i:j] - a]
+            total = sums[-1]
+        for a in range(0, len(low), CHUNK):
+            i, j = np.searchsorted(starts, (a, a + CHUNK))
+            h[i:j] *= _DOWN[starts[i:j] - a] * _power(_INVERSE, a)
+        h += (ends - starts).astype(np.uint64) * _STEP
+        for a in range(0, len(h), CHUNK):
+            h[a : a + CHUNK] = mix(h[a : a + CHUNK])
+    return h, np.diff(np.searchsorted(starts, at))
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,19 +68,28 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, n
     """
     h, n_words = words(raw, at)
     n = len(n_words)
-    begin = np.cumsum(n_words) - n_words
-    owner = np.repeat(np.arange(n), n_words)
-    left = n_words[owner] - (np.arange(len(h)) - begin[owner])  # words from here to the text's end
-    short = n_words[owner] < k
-    first = np.arange(len(h)) == begin[owner]
-    take = np.where(short, first, left >= k)
+    end = np.cumsum(n_words)
+    made, of = [], []
     with np.errstate(over="ignore"):
-        acc = np.zeros(len(h), np.uint64)
-        padded = np.r_[h, np.zeros(k, np.uint64)]
-        for j in range(k):
-            acc = acc * _BASE + np.where(j < left, padded[j : j + len(h)], np.uint64(0))
-        got = mix(acc[take] + np.minimum(n_words[owner[take]], k).astype(np.uint64) * _STEP)
-    own = owner[take]
+        for a in range(0, len(h), CHUNK):
+            part = h[a : a + CHUNK + k]
+            here = np.arange(a, min(a + CHUNK, len(h)))
+            own = np.searchsorted(end, here, side="right").astype(np.int32)
+            left = end[own] - here  # words from here to the text's end
+            take = np.where(n_words[own] < k, left == n_words[own], left >= k)
+            padded = np.r_[part, np.zeros(k, np.uint64)]
+            acc = np.zeros(len(here), np.uint64)
+            for j in range(k):
+                acc = acc * _BASE + np.where(j < left, padded[j : j + len(here)], np.uint64(0))
+            made.append(mix(acc[take] + np.minimum(n_words[own[take]], k).astype(np.uint64) * _STEP))
+            of.append(own[take])
+    del h
+    got = np.concatenate(made) if made else np.zeros(0, np.uint64)
+    own = np.concatenate(of) if of else np.zeros(0, np.int32)
+    del made, of
+    if n == 1:
+        got = np.unique(got)
+        return got, np.array([len(got)])
     order = np.lexsort((got, own))
     got, own = got[order], own[order]
     new = np.ones(len(got), bool)
