@@ -2,36 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from skein.sources.staging import stage
+from skein.sources.staging import discard, stage
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, rounds: int | None = None) -> DataFrame:
     """``id, component``: the smallest id reachable over undirected ``edges`` (src, dst), for ids that have an edge.
 
     Each round hooks every vertex's larger neighbours to its smallest one, then its smaller ones to that; the edges turn
-    into stars around the smallest ids in about log(n) rounds, whatever the diameter. A round is aggregations and joins
-    on vertices: no neighbourhood is ever gathered, and a hub's rows can be split by the skew join. Self loops and
-    repeated edges don't matter; null ends are ignored.
+    into stars around the smallest ids in about log(n) rounds, whatever the diameter. A round is one staged job of
+    aggregations and joins on vertices, which also observes whether anything changed: no neighbourhood is ever gathered,
+    and a hub's rows can be split by the skew join. Self loops and repeated edges don't matter; null ends are ignored.
+
+    ``rounds`` ends early: ``component`` is then some id that is reachable, not always the smallest, and ids of one
+    component may still have different ones.
     """
     u, v = F.greatest("src", "dst"), F.least("src", "dst")
     clean = edges.where("src IS NOT NULL AND dst IS NOT NULL")
-    now = stage(clean.select(u.alias("u"), v.alias("v")).where("u > v").distinct(), "edges")
+    now = clean.select(u.alias("u"), v.alias("v")).where("u > v").distinct()
+    if rounds is None:
+        now = stage(now, "edges")
     mark = None
-    for _ in range(max_rounds):
-        both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(now.select(F.col("v").alias("a"), F.col("u").alias("b")))
+    for _ in range(max_rounds if rounds is None else rounds):
+        both = now.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("e"))
+        both = both.select("e.a", "e.b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        done = Observation()
+        made = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        made = made.observe(done, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        was, now = now, stage(made, "stars")
+        discard(was)
+        seen = done.get
+        if (seen["n"], seen["h"]) == mark:
             break
-        mark = tuple(seen)
+        mark = (seen["n"], seen["h"])
     else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+        if rounds is None:
+            raise RuntimeError("components did not settle")
+        # a vertex may still have several smaller ends: the smallest names it
+        now = now.groupBy("u").agg(F.min("v").alias("v"))
+    roots = now.select(F.col("v").alias("id")).distinct()
+    if rounds is not None:
+        roots = roots.join(now.select(F.col("u").alias("id")), "id", "left_anti")
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
