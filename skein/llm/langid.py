@@ -144,20 +144,31 @@ class Lattice:
         return alpha, np.log(final) + logs
 
     def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece per language over words that occur ``weight`` (word by language) times."""
-        alpha, _ = self.forward(prob)
+        """Expected uses of each piece per language over words that occur ``weight`` (word by language) times.
+
+        Every segmentation of a word covers all its characters, so a factor for each character leaves the shares of the
+        segmentations as they are; it is chosen so that the word's total is 1, and no value under- or overflows.
+        """
+        _, logs = self.forward(prob)
+        word_of = np.repeat(np.arange(len(self.base)), self.length + 1)
+        w = word_of[self.to]
+        edge = prob[self.piece] * np.exp(-(logs / np.maximum(self.length, 1)[:, None])[w] * (self.to - self.frm)[:, None])
+        alpha = np.zeros((len(word_of), prob.shape[1]))
+        alpha[self.base] = 1.0
         beta = np.zeros_like(alpha)
         beta[self.base + self.length] = 1.0
+        for t in range(1, len(self.level) - 1):
+            a, b = self.level[t], self.level[t + 1]
+            if a < b:
+                np.add.at(alpha, self.to[a:b], alpha[self.frm[a:b]] * edge[a:b])
         for t in range(len(self.level) - 2, 0, -1):
             a, b = self.level[t], self.level[t + 1]
             if a < b:
-                np.add.at(beta, self.frm[a:b], beta[self.to[a:b]] * prob[self.piece[a:b]])
-        word_of = np.repeat(np.arange(len(self.base)), self.length + 1)
-        total = np.maximum(alpha[self.base + self.length], 1e-300)
+                np.add.at(beta, self.frm[a:b], beta[self.to[a:b]] * edge[a:b])
+        total = alpha[self.base + self.length]
         out = np.zeros_like(prob)
         for k in range(prob.shape[1]):
-            w = word_of[self.to]
-            use = alpha[self.frm, k] * prob[self.piece, k] * beta[self.to, k] / total[w, k] * weight[w, k]
+            use = alpha[self.frm, k] * edge[:, k] * beta[self.to, k] / total[w, k] * weight[w, k]
             out[:, k] = np.bincount(self.piece, weights=use, minlength=len(out))
         return out
 
@@ -191,17 +202,28 @@ class LanguageModel:
                 self.cache[text[new[j]]] = len(self.cache)
         return out
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """Most likely language and its posterior for each whole text; ``und`` and 0 without a letter."""
+    def with_background(self) -> LanguageModel:
+        """The same with a last, nameless language in which all pieces are equally likely: what a text is held against."""
+        flat = np.full((len(self.prob), 1), 1.0 / len(self.prob))
+        return LanguageModel([*self.langs, ""], self.trie, np.hstack([self.prob[:, : len(self.langs)], flat]))
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Most likely language, its posterior and the evidence for it for each whole text; ``und``, 0 and 0 without a letter.
+
+        The evidence is the log likelihood ratio of that language to the background; 0 for a model without one.
+        """
         words, index, counts = split_words(texts)
-        if not self.langs:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        if not self.langs or self.langs == [""]:
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         logs = sum_by_text(self.word_logs(words)[index], counts) if len(words) else np.zeros((len(texts), len(self.langs)))
+        flat = logs[:, -1] if self.langs[-1] == "" else None
+        logs = logs if flat is None else logs[:, :-1]
         best = logs.argmax(axis=1)
         top = logs[np.arange(len(best)), best]
         score = 1.0 / np.exp(logs - top[:, None]).sum(axis=1)
         letters = np.array([bool(_LETTER.search(t)) for t in filled(texts).to_pylist()], bool)
-        return [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters, strict=True)], np.where(letters, score, 0.0)
+        lang = [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters, strict=True)]
+        return lang, np.where(letters, score, 0.0), np.zeros(len(top)) if flat is None else np.where(letters, top - flat, 0.0)
 
 
 def fit(texts: list[str], langs: list[str], pieces: list[str], rounds: int = 3, smoothing: float = 0.05, longest_word: int = 40) -> LanguageModel:
@@ -247,24 +269,30 @@ def fit_from(docs: DataFrame, vocabulary_path: str, max_docs_per_lang: int = 300
     return fit(rows["text"].tolist(), rows["lang"].tolist(), vocabulary(vocabulary_path))
 
 
-def identify(docs: DataFrame, model: LanguageModel, max_bytes: int = 2_000_000) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, max_bytes: int = 2_000_000, evidence: bool = False) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score`` (columns of these names are replaced).
 
-    The whole text counts. Null, empty and letterless texts get ``und`` and 0. Equal texts get equal results.
+    The whole text counts. Null, empty and letterless texts get ``und`` and 0. Equal texts get equal results. With
+    ``evidence`` a column of this name (replaced too) holds how much more likely the text is in its language than by
+    equally likely pieces, as a log ratio; it is negative for a text like none of the languages.
     """
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(LanguageModel(model.langs, model.trie, model.prob))
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    own = LanguageModel(model.langs, model.trie, model.prob)
+    held = spark.sparkContext.broadcast(own.with_background() if evidence else own)
+    added = SCHEMA + ", evidence double" if evidence else SCHEMA
+    new = [x.split(" ")[0] for x in added.split(", ")]
+    keep = [c for c in docs.columns if c.lower() not in new]
     base = docs.select(*(F.col(f"`{c}`") for c in keep))
-    schema = with_fields(base, SCHEMA)
+    schema = with_fields(base, added)
     at = keep.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
             for part in slices(batch, at, max_bytes):
-                lang, score = model.predict(part.column(at))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+                lang, *numbers = model.predict(part.column(at))
+                made = [pa.array(lang, pa.string()), *(pa.array(x, pa.float64()) for x in numbers)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made[: len(new)]], [*keep, *new])
 
     return base.mapInArrow(run, schema)
 

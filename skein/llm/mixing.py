@@ -77,7 +77,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, budget_sh
         "doc_id", F.col("r.source").alias("source"), "size", "h", F.col("r.bin").alias("bin"), "source_size", "target", "whole", "room", "bin_size"
     )
     at_edge = (F.col("room") > 0) & (F.col("room") < F.col("bin_size"))
-    clear = joined.where(~at_edge).withColumn("extra", (F.col("room") >= F.col("bin_size")).cast("int"))
+    clear = joined.where(~at_edge).withColumn("extra", ((F.col("room") >= F.col("bin_size")) & (F.col("room") > 0)).cast("int"))
     order = W.partitionBy("source", "bin").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     edge = joined.where(at_edge).withColumn("upto", F.sum("size").over(order))
     over, under = F.col("upto") - F.col("room"), F.col("room") - (F.col("upto") - F.col("size"))
@@ -88,12 +88,26 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, budget_sh
 
 
 def take_mix(docs: DataFrame, **params) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as ``mix`` takes it. All columns are kept."""
+    """The mixed corpus: each row of ``docs`` as often as ``mix`` takes it. All columns are kept, whatever their names.
+
+    Rows that repeat id, size and source are dealt what is taken of them in turn, so no target is exceeded by rounding.
+    Null sources are one source, null and empty texts are taken by whole repetitions, no rows give no rows.
+    """
     names = docs.columns
-    taken = mix(docs, **params).where(F.col("copies") > 0).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("copies").alias("__n"), F.col("source").alias("__source"))
-    one = taken.groupBy("__id", "__size", "__source").agg(F.sum("__n").alias("__n"), F.count("*").alias("__rows"))
-    base = docs.withColumn("__size2", word_count())
-    hit = base.join(one, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__size2") == F.col("__size")) & F.col("source").cast("string").eqNullSafe(F.col("__source")))
-    # repeated rows share their copies: each gets the floor, and a hash of nothing can't split the rest, so it is rounded up
-    n = F.ceil(F.col("__n") / F.col("__rows")).cast("int")
-    return hit.withColumn("__copy", F.explode(F.sequence(F.lit(1), n))).select(*(F.col(f"`{c}`") for c in names))
+    free = lambda base: next(x for x in (f"{base}{k}" for k in ("", *range(len(names) + 1))) if x.lower() not in {c.lower() for c in names})
+    key, size, source, at, n = (free(f"__mix_{x}") for x in ("id", "size", "source", "at", "n"))
+    taken = mix(docs, **params).select("doc_id", "size", "source", "copies")
+    own = [F.col("doc_id").cast("long").alias(key), word_count().alias(size), F.col("source").cast("string").alias(source)]
+    base = docs.select(*(F.col(f"`{c}`") for c in names), *own)
+    # rows that repeat id, size and source share what the mix takes of them: the rest of the division goes to the first
+    one = taken.groupBy("doc_id", "size", "source").agg(F.sum("copies").alias("c"), F.count("*").alias("rows"))
+    one = one.where("c > 0")
+    match = F.col(key).eqNullSafe(F.col("doc_id_")) & (F.col(size) == F.col("size_")) & F.col(source).eqNullSafe(F.col("source_"))
+    renamed = one.select(F.col("doc_id").alias("doc_id_"), F.col("size").alias("size_"), F.col("source").alias("source_"), F.col("c").alias(n), F.col("rows").alias(at))
+    alone = base.join(renamed.where(F.col(at) == 1), match).withColumn(n, F.col(n).cast("int"))
+    several = base.join(renamed.where(F.col(at) > 1), match)
+    turn = F.row_number().over(W.partitionBy(key, size, source).orderBy(F.lit(1)))
+    several = several.withColumn("turn_", turn).withColumn(n, (F.floor(F.col(n) / F.col(at)) + (F.col("turn_") <= F.col(n) % F.col(at)).cast("int")).cast("int"))
+    kept = [*(F.col(f"`{c}`") for c in names), F.col(n)]
+    both = alone.select(*kept).unionByName(several.select(*kept))
+    return both.withColumn(key, F.explode(F.array_repeat(F.lit(True), F.col(n)))).select(*(F.col(f"`{c}`") for c in names))

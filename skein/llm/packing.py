@@ -44,13 +44,30 @@ class ByteBpe:
         vocab = {bytes(byte_of[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in self.special}
         split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.encoding = tiktoken.Encoding("byte-bpe", pat_str=split, mergeable_ranks=vocab, special_tokens=self.special)
-        self.any_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.blanks = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
-    def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
+    def _encode(self, text: str) -> np.ndarray:
         return np.asarray(self.encoding.encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
 
+    def ids(self, text: str) -> np.ndarray:
+        """Token ids of a whole text of any length."""
+        try:
+            return self._encode(text) if text else np.zeros(0, np.uint32)
+        except ValueError:  # the pattern gives up on a very long run of blanks: these are cut out first
+            return self._ids_around_blanks(text)
+
+    def _ids_around_blanks(self, text: str) -> np.ndarray:
+        """A run of blanks is one pre-token, without its last blank where a character that is none follows."""
+        parts, done = [], 0
+        for run in self.blanks.finditer(text):
+            a, b = run.span()
+            if b < len(text) and not any(text.startswith(x, b) for x in self.special):
+                b -= 1
+            parts.append(self._encode(text[done:a]))
+            parts.append(np.array(self.encoding._encode_single_piece(text[a:b]), np.uint32))
+            done = b
+        return np.concatenate([*parts, self._encode(text[done:])])
+
 
 def piece_starts(n: int, size: int) -> list[int]:
     """Starts of the pieces of ``n`` tokens: only a first piece is shorter than ``size``."""

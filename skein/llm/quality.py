@@ -136,14 +136,15 @@ def fit(texts: list[str], labels: list[int], buckets: int = 1 << 15, dims: int =
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 3000, max_chars: int = 30_000_000) -> pd.DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 3000, max_chars: int = 30_000_000, max_text_chars: int = 300_000) -> pd.DataFrame:
     """A bounded sample of labelled whole texts: at most ``max_rows`` rows in the order of a hash of the id, and of those
-    as many as stay within ``max_chars`` characters. Rows whose crc32(doc_id) modulo 5 is 0 are held out; null labels,
+    as many as stay within ``max_chars`` characters. Texts over ``max_text_chars`` characters are not learned from, so that
+    no single one fills the sample; they are scored like all others. Rows whose crc32(doc_id) modulo 5 is 0 are held out; null labels,
     ids or texts teach nothing."""
     own = labels.where((id_bucket("doc_id", 5) != 0) & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     one = own.groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("y"), F.min(F.col(label)).cast("int").alias("z")).where("y = z")
     few = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", "y")
-    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars // 100)).select("doc_id", "text")
+    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_text_chars)).select("doc_id", "text")
     rows = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     got = rows.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     return got[got["text"].str.len().cumsum() <= max_chars]

@@ -22,7 +22,8 @@ def tokenizer_path(name: str) -> str:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, written, read back, and its payload's digest checked against the header."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    back = warc.read_archive(spark, warc.write_archive(warc.page_records(pages)))
+    columns = ["warc_type", "record_id", "payload_digest", "payload_length", "refers_to", "payload"]
+    back = warc.read_archive(spark, warc.write_archive(warc.page_records(pages)), columns=columns)
     response = F.col("warc_type") == "response"
     page = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1)
     number = lambda c: F.when(page(c) != "", page(c)).cast("long")

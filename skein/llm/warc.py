@@ -1,15 +1,19 @@
 """WARC archives as a PySpark Python data source, with writer and reader.
 
-Records are gzip members of their own. Reading plans one partition per file or byte range of members, takes record-type
-and header predicates, parses headers first and skips the payload of records that the predicates or the projection
-don't want. Files are opened with ``pyarrow.fs``, so any store that it knows will do.
+Records are gzip members of their own; a field in the gzip head holds the member's length. Reading plans one partition per
+file or byte range of members, takes record-type and header predicates, parses headers first and passes over the payload
+of records that the predicates or the asked columns don't want: by a seek where the length is known (archives written
+here), else by inflating it without decoding. Spark tells a Python source its filters but not its projection, so columns
+are chosen by ``read_archive(..., columns=...)``. Records of other writers are read by header names in any case; their
+payload is the record's block. Uncompressed archives are refused. Files are opened with ``pyarrow.fs``, so any store that
+it knows will do.
 """
 
 from __future__ import annotations
 
-import hashlib
 import io
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,6 +46,7 @@ HEADERS = {
 }
 MIN_REVISIT_BYTES = 1000
 _GZIP = b"\x1f\x8b\x08"
+_LENGTH = b"SL"  # the field of the gzip head that holds the member's length
 _EPOCH = "1970-01-01T00:00:00Z"
 
 
@@ -65,8 +70,11 @@ def encode_record(row: dict) -> bytes:
             lines.append(f"{header}: " + " ".join(str(row[name]).split("\r")).replace("\n", " "))
     lines.append(f"Content-Length: {len(body)}")
     raw = "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
-    c = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return c.compress(raw) + c.flush()
+    c = zlib.compressobj(1, zlib.DEFLATED, -15)
+    packed = c.compress(raw) + c.flush()
+    extra = _LENGTH + struct.pack("<HQ", 8, 10 + 2 + 12 + len(packed) + 8)
+    head = _GZIP + b"\x04" + bytes(5) + b"\xff" + struct.pack("<H", len(extra)) + extra
+    return head + packed + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
 
 @dataclass
@@ -140,6 +148,13 @@ class Members:
         self.buf, self.pos = self.buf[self.pos :] + data, 0
         return True
 
+    def go(self, to: int) -> None:
+        if self.base <= to <= self.base + len(self.buf):
+            self.pos = to - self.base
+        else:
+            self.f.seek(to)
+            self.base, self.buf, self.pos = to, b"", 0
+
     def seek_first(self) -> None:
         """To the first member at or after the start: a gzip head whose content starts with WARC/."""
         while True:
@@ -173,6 +188,17 @@ class Member:
     def __init__(self, source: Members):
         self.s, self.z = source, zlib.decompressobj(31)
         self.head = b""
+        self.end = self._known_end()
+
+    def _known_end(self) -> int | None:
+        """Where the member ends, if its head says so."""
+        s = self.s
+        if len(s.buf) - s.pos < 24:
+            s._more()
+        head = s.buf[s.pos : s.pos + 24]
+        if len(head) == 24 and head[:4] == _GZIP + b"\x04" and head[10:16] == struct.pack("<H", 12) + _LENGTH + struct.pack("<H", 8):
+            return s.base + s.pos + struct.unpack("<Q", head[16:])[0]
+        return None
 
     def _inflate(self, limit: int) -> bytes:
         s = self.s
@@ -188,7 +214,8 @@ class Member:
         while b"\r\n\r\n" not in self.head and not self.z.eof:
             self.head += self._inflate(1 << 12)
         head, _, self.head = self.head.partition(b"\r\n\r\n")
-        return dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
+        lines = (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])
+        return {name.strip().lower(): value.strip() for name, colon, value in lines if colon}
 
     def payload(self, n: int) -> bytes:
         parts, have = [self.head], len(self.head)
@@ -199,7 +226,10 @@ class Member:
         return b"".join(parts)[:n]
 
     def finish(self) -> None:
-        """Pass over the rest, inflated in small pieces that are dropped at once and never decoded."""
+        """Pass over the rest: by a seek, or inflated in small pieces that are dropped at once and never decoded."""
+        if self.end is not None:
+            self.s.go(self.end)
+            return
         while not self.z.eof:
             self._inflate(1 << 18)
 
@@ -229,6 +259,8 @@ class WarcReader(DataSourceReader):
         store, root = open_store(self.path)
         out = []
         for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+            if info.is_file and info.base_name.endswith(".warc"):
+                raise ValueError(f"{info.path}: only archives with a gzip member per record are read")
             if info.is_file and info.base_name.endswith(".warc.gz") and not info.base_name.startswith("_"):
                 out += [Span(info.path, a, min(info.size, a + self.split)) for a in range(0, info.size, self.split)]
         return out or [Span("", 0, 0)]
@@ -243,11 +275,12 @@ class WarcReader(DataSourceReader):
                 members.seek_first()
             for m in members:
                 h = m.headers()
-                row = {c: h.get(k) for c, k in HEADERS.items()}
+                row = {c: h.get(k.lower()) for c, k in HEADERS.items()}
                 if any(row[c] not in ok for c, ok in self.wanted.items()):
                     continue
-                row["payload_length"] = int(row["payload_length"] or h.get("Content-Length", 0))
-                row["payload"] = m.payload(int(h.get("Content-Length", 0))) if self.with_payload and "payload" in self.names else None
+                n = int(h.get("content-length", 0))
+                row["payload_length"] = int(row["payload_length"] or n)
+                row["payload"] = m.payload(n) if self.with_payload and "payload" in self.names else None
                 yield tuple(row[c] for c in self.names)
 
 
@@ -278,7 +311,7 @@ def page_records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -
     """WARC rows of ``pages`` (page_id, url, html): of equal payloads the one with the largest page_id is a response and
     the others revisit it; payloads under ``min_revisit_bytes`` are all responses.
 
-    Null html is an empty payload, null urls have no target header, and rows that repeat a page_id with the same payload
+    Null html is an empty payload, an empty table gives no records, texts of any length are one record each, null urls have no target header, and rows that repeat a page_id with the same payload
     are all responses. Digests meet in an aggregate and return by a join that Spark can split, so a payload that holds a
     third of all pages is no task of its own.
     """
@@ -311,13 +344,13 @@ def write_archive(records: DataFrame, path: str | None = None) -> str:
     return path
 
 
-def read_archive(spark: SparkSession, path: str, **options) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, columns: list[str] | None = None, **options) -> DataFrame:
+    """The records below ``path``. Of ``columns`` alone nothing else is built: without ``payload`` no payload is inflated."""
     register(spark)
     r = spark.read.format("warc")
     for k, v in options.items():
         r = r.option(k, v)
+    if columns is not None:
+        kinds = dict(x.split(" ") for x in SCHEMA.split(", "))
+        r = r.schema(", ".join(f"{c} {kinds[c]}" for c in columns))
     return r.load(path)
-
-
-def digest_of(payload: bytes) -> str:
-    return hashlib.sha1(payload).hexdigest()
