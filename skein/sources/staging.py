@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder is made."""
+    """The session's ``spark.checkpoint.dir``. Where that is unset, a master on one machine gets a temporary folder, and any
+    other raises: a folder of its own on each executor would lose rows."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
         return got.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skein-shared-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
