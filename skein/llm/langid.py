@@ -21,7 +21,7 @@ from skein.llm.textbatch import code_points, filled, slices, split_words, sum_by
 
 MARK = "▁"  # the vocabulary's sign for the start of a word
 UNDETERMINED = "und"
-FIT_WORDS = 10_000
+FIT_WORDS = 2_500
 SCHEMA = "lang_pred string, score double"
 _LETTER = regex.compile(r"\p{L}")
 
