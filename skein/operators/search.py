@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.sources.staging import stage
+
 TOKEN = "[a-z0-9]+"
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -39,6 +41,7 @@ def bm25(docs: DataFrame, queries: DataFrame, top: int, doc_id: str = "doc_id",
     query term counts once. Scores are rounded to six places before ranking, ties go to the smaller id.
     """
     tf = docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(text)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    tf = stage(tf, "postings")  # read three times: texts are tokenised once
     length = tf.groupBy("doc_id").agg(F.sum("tf").alias("len"))
     stats = docs.agg(F.count("*").alias("n")).crossJoin(length.agg(F.sum("len").alias("total")))  # one row each
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))

@@ -59,7 +59,7 @@ def _lock_orders(pdf: pd.DataFrame) -> pd.DataFrame:
                 held.append(name)
             elif name in held:
                 held.remove(name)
-    return pd.DataFrame({"file": pdf["file"].iloc[0], "outer": [a for a, _ in out], "inner": [b for _, b in out]})
+    return pd.DataFrame({"file": [pdf["file"].iloc[0]] * len(out), "outer": [a for a, _ in out], "inner": [b for _, b in out]}, dtype=object)
 
 
 def taint(lines: DataFrame, sources: str, sanitizers: str, sinks: str, most: int | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ def taint(lines: DataFrame, sources: str, sanitizers: str, sinks: str, most: int
             if k and not re.search(sanitizers, line):
                 out += [(dirty[v], n, v) for v in sorted(set(re.findall(r"\w+", line[k.end() :]))) if v in dirty]
         out = out[:most]
-        return pd.DataFrame({"file": pdf["file"].iloc[0], "source_line": [a for a, _, _ in out], "sink_line": [b for _, b, _ in out], "variable": [c for _, _, c in out]})
+        return pd.DataFrame({"file": [pdf["file"].iloc[0]] * len(out), "source_line": [a for a, _, _ in out], "sink_line": [b for _, b, _ in out], "variable": [c for _, _, c in out]}, dtype=object)
 
     return lines.groupBy("file").applyInPandas(run, "file string, source_line long, sink_line long, variable string")
 
@@ -124,11 +124,13 @@ def rule_hits(lines: DataFrame, rules: list[tuple[str, str, str]], most: int | N
     return r.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
 
 
-def pressure(lines: DataFrame, limits: str, uses: str) -> DataFrame:
-    """``name, limit_at, used_at, used_in``: constraints joined with the operations on what they bound."""
-    a = lines.select(F.regexp_extract("line", limits, 1).alias("name"), F.concat_ws(":", "file", "line_no").alias("limit_at")).where("name <> ''")
+def pressure(lines: DataFrame, limits: str, uses: str, same_file: bool = False) -> DataFrame:
+    """``name, limit_at, used_at, used_in``: constraints joined with the operations on what they bound, of all files or of
+    the same."""
+    a = lines.select(F.regexp_extract("line", limits, 1).alias("name"), F.concat_ws(":", "file", "line_no").alias("limit_at"), F.col("file").alias("used_in")).where("name <> ''")
     b = lines.select(F.regexp_extract("line", uses, 1).alias("name"), F.col("line_no").alias("used_at"), F.col("file").alias("used_in")).where("name <> ''")
-    return a.join(b, "name")
+    joined = a.join(b, ["name", "used_in"]) if same_file else a.drop("used_in").join(b, "name")
+    return joined.select("name", "limit_at", "used_at", "used_in")
 
 
 def boundary_segments(facts: DataFrame, most: int | None = None) -> DataFrame:

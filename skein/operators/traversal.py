@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,17 +23,20 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.unionByName(reversed_edges(e).select("src", "dst")).where("src <> dst").distinct()
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, frontier_cap: int | None = None) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, frontier_cap: int | None = None) -> DataFrame:
     """``seed, id, depth``: first depth at which each id is reached from each seed; seeds are at depth 0.
 
-    ``seeds`` has ``seed, id``. One join of the frontier with the edges and one anti join with what was seen per level;
-    every level is staged, so plans don't grow with depth. A frontier cap keeps the smallest ids per seed and level; it is
-    off unless given.
+    ``seeds`` has ``seed, id``. One join of the frontier with the edges and one anti join with what was seen per level.
+    The edges are staged once where levels will read them again, and every level is staged; what was seen is gathered in
+    one table every eight levels, so plans don't grow with depth. Without ``max_depth`` it goes on until nothing is new.
+    A frontier cap keeps the smallest ids per seed and level; it is off unless given.
     """
     steps = edges.select("src", "dst").distinct()
+    if max_depth != 1:
+        steps = stage(steps, "bfs-edges")
     seen = stage(seeds.select("seed", "id", F.lit(0).alias("depth")).distinct(), "bfs0")
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         new = frontier.select("seed", "id").join(steps, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
         new = new.join(seen.select("seed", "id"), ["seed", "id"], "left_anti")
         if frontier_cap is not None:
@@ -40,12 +45,14 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, frontier_cap: int |
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % 8 == 0:
+            seen = stage(seen, "bfs-seen")
     return seen
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """``id``: everything reachable from the ids in ``seeds``, these included."""
-    return bfs(edges, seeds.select(F.lit(0).alias("seed"), "id"), max_rounds).select("id")
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``id``: everything reachable from the ids in ``seeds``, these included, over any number of hops."""
+    return bfs(edges, seeds.select(F.lit(0).alias("seed"), "id")).select("id")
 
 
 def risk_level(direct: Column, processes: Column, modules: Column, total: Column) -> Column:
@@ -127,7 +134,7 @@ def longest_per_pair(paths: DataFrame) -> DataFrame:
     return paths.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
-def topological_levels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def topological_levels(edges: DataFrame) -> DataFrame:
     """``id, level``: rounds in which nodes lose their last unresolved dependency (``src`` before ``dst``).
 
     Nodes on or behind a cycle never do; they get the level behind the last one.
@@ -137,12 +144,14 @@ def topological_levels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     left = stage(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct(), "topo")
     rest = stage(e, "topo-edges")
     done, level = None, 0
-    while level < max_rounds:
+    while True:
         ready = left.join(rest.select(F.col("dst").alias("id")), "id", "left_anti").join(loops, "id", "left_anti")
         ready = stage(ready.withColumn("level", F.lit(level)), f"level{level}")
         if ready.isEmpty():
             break
         done = ready if done is None else done.unionByName(ready)
+        if level % 16 == 15:
+            done = stage(done, "levels")
         left = stage(left.join(ready, "id", "left_anti"), "left")
         rest = stage(rest.join(ready, rest["src"] == ready["id"], "left_anti"), "rest")
         level += 1
@@ -150,7 +159,7 @@ def topological_levels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     return tail if done is None else done.unionByName(tail)
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """``id, scc``: strongly connected components, named by their smallest id. Nodes without a cycle are their own.
 
     Forward-backward colouring: each node takes the smallest id that reaches it; nodes that reach their colour's root
@@ -159,7 +168,7 @@ def strong_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     rest = stage(edges.where("src <> dst").select("src", "dst").distinct(), "scc")
     all_nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
     found = None
-    for _ in range(max_rounds):
+    while True:  # every round finds the component of each colour's root, so rounds end
         while True:  # trim
             size = rest.count()
             inner = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
@@ -181,7 +190,7 @@ def strong_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         b = color.withColumnsRenamed({"id": "dst", "c": "cd"})
         inside = stage(rest.join(a, "src").join(b, "dst").where("cs = cd").select("src", "dst"), "inside")
         roots = color.where("id = c").select(F.col("c").alias("seed"), "id")
-        got = bfs(reversed_edges(inside), roots, max_rounds * 10).select("id", F.col("seed").alias("scc"))
+        got = bfs(reversed_edges(inside), roots).select("id", F.col("seed").alias("scc"))
         got = stage(got, "got")
         found = got if found is None else found.unionByName(got)
         gone = got.select("id")

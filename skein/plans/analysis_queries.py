@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skein.operators import analysis, hierarchy, joins, packing, rank, search, textops, traversal
 from skein.plans.graph_queries import FLOW_STEPS, _top_sources, whole_graph
 from skein.plans.search_queries import VEC
-from skein.plans.state_queries import CLASSES, METHODS
+from skein.plans.state_queries import MRO_SQL, class_methods, class_parents
 from skein.sources import graph as G
 from skein.sources.graph import FOLLOWS_SQL, Tables
 
@@ -114,11 +114,10 @@ def maximal_flows(t: Tables) -> DataFrame:
 whole_graph(maximal_flows, QUERIES, SQL)
 
 
-@query()
+@query(f"WITH {MRO_SQL} SELECT u.id AS child, u.method AS method, arg_min(u.owner, u.pos) AS parent FROM spots u JOIN spots o ON o.id = u.id AND o.method = u.method AND o.pos = 1 WHERE u.pos > 1 GROUP BY 1, 2")
 def method_overrides(t: Tables) -> DataFrame:
     """Which inherited method each own method overrides."""
-    mro = hierarchy.linearise(t.spark.createDataFrame(CLASSES, "child string, parent string, pos int"))
-    return analysis.overrides(mro, t.spark.createDataFrame(METHODS, "owner string, method string"))
+    return analysis.overrides(hierarchy.linearise(class_parents(t)), class_methods(t))
 
 
 @query("""WITH a AS (SELECT doc_id, md5(text) AS h FROM documents WHERE lang <> 'fr'), b AS (SELECT doc_id, md5(CASE WHEN lang = 'de' THEN lower(text) ELSE text END) AS h FROM documents WHERE lang <> 'es')

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skein.operators import components, rank, traversal
 from skein.sources import graph as G
 from skein.sources.graph import EDGES_SQL, FOLLOWS_SQL, NODES_SQL, STRONG_SQL, Tables
+from skein.sources.staging import stage
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -412,9 +413,9 @@ SELECT n.id AS id, n.label AS label, coalesce(inn, 0) AS in_degree, coalesce(out
 FROM nodes n LEFT JOIN i USING (id) LEFT JOIN o USING (id) LEFT JOIN span USING (id) WHERE coalesce(inn, 0) + coalesce(outt, 0) > 0 ORDER BY score DESC, id LIMIT 25""")
 def hub_report(t: Tables) -> DataFrame:
     """The 25 top hubs: distinct in- and out-neighbours, and three points for each further group that reaches in."""
-    e, n = G.edges(t), G.nodes(t)
-    inn = e.groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("in_degree"))
-    out = e.groupBy(F.col("src").alias("id")).agg(F.count_distinct("dst").alias("out_degree"))
+    e, n = stage(G.edges(t).select("src", "dst").distinct(), "hub-edges"), G.nodes(t)
+    inn = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"))
+    out = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))
     span = e.join(n.select(F.col("id").alias("src"), "grp"), "src").groupBy(F.col("dst").alias("id")).agg(F.count_distinct("grp").alias("span"))
     all_ = n.select("id", "label").join(inn, "id", "left").join(out, "id", "left").join(span, "id", "left").na.fill(0, ["in_degree", "out_degree", "span"])
     score = F.col("in_degree") + F.col("out_degree") + 3 * F.greatest(F.col("span") - 1, F.lit(0))

@@ -92,39 +92,72 @@ def freshness_states(t: Tables) -> DataFrame:
 
 # --- hierarchies ------------------------------------------------------------------------------------------------------
 
-CLASSES = [("A", "B", 1), ("A", "C", 2), ("B", "D", 1), ("C", "D", 1), ("D", "O", 1), ("X", "Y", 1), ("X", "Z", 2), ("Y", "Z", 1), ("Z", "O", 1), ("P", "Q", 1), ("Q", "P", 1)]
-METHODS = [("A", "run"), ("B", "run"), ("C", "stop"), ("D", "run"), ("D", "stop"), ("O", "init"), ("Y", "go"), ("Z", "go"), ("X", "go")]
-C3 = [("A", "A,B,C,D,O"), ("B", "B,D,O"), ("C", "C,D,O"), ("D", "D,O"), ("O", "O"), ("X", "X,Y,Z,O"), ("Y", "Y,Z,O"), ("Z", "Z,O"), ("P", None), ("Q", None)]
-
-
-@query()
+# Customers inherit from their nation and their segment, in an order by parity; nations from regions, and all from O.
+MRO_SQL = """mro AS (SELECT 'C' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN ['C' || c_custkey, 'N' || n_nationkey, 'R' || n_regionkey, 'S' || c_mktsegment, 'O']
+  ELSE ['C' || c_custkey, 'S' || c_mktsegment, 'N' || n_nationkey, 'R' || n_regionkey, 'O'] END AS mro FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'N' || n_nationkey, ['N' || n_nationkey, 'R' || n_regionkey, 'O'] FROM nation UNION ALL SELECT DISTINCT 'R' || n_regionkey, ['R' || n_regionkey, 'O'] FROM nation
+  UNION ALL SELECT DISTINCT 'S' || c_mktsegment, ['S' || c_mktsegment, 'O'] FROM customer UNION ALL SELECT 'O', ['O']),
+methods AS (SELECT 'N' || n_nationkey AS owner, 'run' AS method FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT DISTINCT 'S' || c_mktsegment, 'run' FROM customer WHERE length(c_mktsegment) % 2 = 0
+  UNION ALL SELECT DISTINCT 'R' || n_regionkey, 'init' FROM nation WHERE n_regionkey % 2 = 0 UNION ALL SELECT 'C' || c_custkey, 'run' FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'O', 'run' UNION ALL SELECT 'O', 'init'),
+spots AS (SELECT id, method, owner, pos FROM (SELECT id, unnest(mro) AS owner, generate_subscripts(mro, 1) AS pos FROM mro) JOIN methods USING (owner))"""
+
+
+def class_parents(t: Tables) -> DataFrame:
+    """``child, parent, pos``: the customers' hierarchy."""
+    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    name = lambda mark, column: F.concat(F.lit(mark), F.col(column).cast("string"))
+    even = (F.col("c_custkey") % 2 == 0).cast("int")
+    up = c.select(name("C", "c_custkey").alias("child"), F.explode(F.array(F.struct(name("N", "n_nationkey").alias("parent"), (2 - even).alias("pos")), F.struct(name("S", "c_mktsegment").alias("parent"), (1 + even).alias("pos")))).alias("p"))
+    rows = up.select("child", "p.parent", "p.pos").unionByName(t.nation.select(name("N", "n_nationkey").alias("child"), name("R", "n_regionkey").alias("parent"), F.lit(1).alias("pos")))
+    tops = t.nation.select(name("R", "n_regionkey").alias("child")).unionByName(t.customer.select(name("S", "c_mktsegment").alias("child"))).distinct()
+    return rows.unionByName(tops.select("child", F.lit("O").alias("parent"), F.lit(1).alias("pos")))
+
+
+def class_methods(t: Tables) -> DataFrame:
+    """``owner, method`` of the customers' hierarchy."""
+    own = lambda df, mark, column, method: df.select(F.concat(F.lit(mark), F.col(column).cast("string")).alias("owner"), F.lit(method).alias("method")).distinct()
+    rows = own(t.nation.where("n_nationkey % 3 = 0"), "N", "n_nationkey", "run").unionByName(own(t.customer.where("length(c_mktsegment) % 2 = 0"), "S", "c_mktsegment", "run"))
+    rows = rows.unionByName(own(t.nation.where("n_regionkey % 2 = 0"), "R", "n_regionkey", "init")).unionByName(own(t.customer.where("c_custkey % 10 = 0"), "C", "c_custkey", "run"))
+    return rows.unionByName(t.spark.createDataFrame([("O", "run"), ("O", "init")], "owner string, method string"))
+
+
+@query(f"WITH {MRO_SQL} SELECT id, array_to_string(mro, ',') AS mro FROM mro")
 def c3_linearisation(t: Tables) -> DataFrame:
-    """Linearised ancestors of small hierarchies; null where inconsistent or cyclic."""
-    parents = t.spark.createDataFrame(CLASSES, "child string, parent string, pos int")
-    return hierarchy.linearise(parents).select("id", F.array_join("mro", ",").alias("mro"))
+    """Linearised ancestors of every class; null where inconsistent or cyclic."""
+    return hierarchy.linearise(class_parents(t)).select("id", F.array_join("mro", ",").alias("mro"))
 
 
-@query()
+@query(f"WITH {MRO_SQL} SELECT id, method, arg_min(owner, pos) AS owner FROM spots GROUP BY id, method")
 def method_lookup(t: Tables) -> DataFrame:
     """The class in whose method each name resolves."""
-    mro = hierarchy.linearise(t.spark.createDataFrame(CLASSES, "child string, parent string, pos int"))
-    return hierarchy.lookup(mro, t.spark.createDataFrame(METHODS, "owner string, method string"))
+    return hierarchy.lookup(hierarchy.linearise(class_parents(t)), class_methods(t))
 
 
 # --- source lines -----------------------------------------------------------------------------------------------------
 
-SOURCE = ["enum S {", "  IDLE,", "  RUNNING,", "  DONE", "};", "switch (state) {", "case IDLE: state = RUNNING; break;", "case RUNNING:", "  state = DONE;", "case DONE: state = BROKEN;", "}",
-          "fd = open(path);", "if (fd < 0) return -1;", "n = read(fd);", "buf = recv(sock);", "cmd = buf;", "exec(cmd);", "safe = escape(buf);", "exec(safe);", "lock(a);", "lock(b);", "unlock(b);", "unlock(a);", "lock(b);", "lock(a);", "unlock(a);", "unlock(b);", "close(fd);"]
-VALUES = "src AS (SELECT 'a.c' AS file, n AS line_no, l AS line FROM (VALUES " + ", ".join(f"({i + 1}, '{x}')" for i, x in enumerate(SOURCE)) + ") x(n, l))"
+# Each user's events, in order, as the lines of a file: what a line says goes by the kind and number of the event.
+LINES = (
+    ("click", 4, 0, "b", 5, " = open(p);"), ("click", 4, 1, "b", 5, " = recv(s);"), ("click", 4, 2, "S", 7, ","), ("click", 4, 3, "state = S", 7, ";"),
+    ("view", 4, 0, "if (b", 5, " < 0) return -1;"), ("view", 4, 1, "case S", 7, ":"), ("view", 4, 2, "switch (state) { // ", 7, ""), ("view", 4, 3, "return; // ", 7, ""),
+    ("signup", 2, 0, "b0 = escape(b", 5, ");"), ("signup", 2, 1, "b1 = b", 5, ";"), ("purchase", 2, 0, "exec(b", 5, ");"), ("purchase", 2, 1, "close(b", 5, ");"),
+    ("error", 2, 0, "lock(l", 3, ");"), ("error", 2, 1, "unlock(l", 3, ");"),
+)
+VALUES = "src AS (SELECT 'user' || user_id AS file, (row_number() OVER (PARTITION BY user_id ORDER BY event_id))::INT AS line_no, CASE " + " ".join(f"WHEN event_type = '{k}' AND event_id % {m} = {r} THEN '{a}' || (event_id % {n}) || '{z}'" for k, m, r, a, n, z in LINES) + " ELSE '' END AS line FROM events)"
 
 
 def _source(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([("a.c", i + 1, x) for i, x in enumerate(SOURCE)], "file string, line_no int, line string")
+    line = F.lit("")
+    for k, m, r, a, n, z in reversed(LINES):
+        line = F.when((F.col("event_type") == k) & (F.col("event_id") % m == r), F.concat(F.lit(a), (F.col("event_id") % n).cast("string"), F.lit(z))).otherwise(line)
+    order = W.partitionBy("user_id").orderBy("event_id")
+    return t.events.select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("file"), F.row_number().over(order).alias("line_no"), line.alias("line"))
 
 
-@query()
+@query(rf"""WITH {VALUES}, states AS (SELECT DISTINCT file, regexp_extract(line, '^\s*([A-Z][A-Z0-9_]+)\s*(?:=\s*\d+)?\s*,?\s*(?://.*)?$', 1) AS state FROM src),
+m AS (SELECT file, line_no, last_value(nullif(regexp_extract(line, 'case\s+(?:\w+::)?([A-Z][A-Z0-9_]+)\s*:', 1), '') IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no) AS source, regexp_extract(line, '\bstate\s*=\s*(?:\w+::)?([A-Z][A-Z0-9_]+)', 1) AS target FROM src)
+SELECT m.file AS file, line_no, source, target, s.state IS NOT NULL AS known FROM m LEFT JOIN states s ON s.file = m.file AND s.state = m.target WHERE target <> ''""")
 def fsm_transitions(t: Tables) -> DataFrame:
-    """State transitions of a small source and whether their target is known."""
+    """State transitions of every file and whether their target is known."""
     return sourcescan.fsm(_source(t))[1]
 
 
@@ -140,24 +173,34 @@ def lock_inversions(t: Tables) -> DataFrame:
     return sourcescan.lock_inversions(_source(t))
 
 
-@query(f"WITH {VALUES}, s AS (SELECT file, line_no, regexp_extract(line, '(\\w+)\\s*=\\s*\\w+\\(', 1) AS source FROM src), c AS (SELECT file, line_no AS c, regexp_extract(line, 'if\\s*\\(\\s*!?\\s*(\\w+)', 1) AS source FROM src) SELECT s.file AS file, s.line_no AS line_no, s.source AS source, min(c) AS checked_at FROM s LEFT JOIN c ON c.source = s.source AND c.c > s.line_no AND c.c <= s.line_no + 8 WHERE s.source <> '' GROUP BY 1, 2, 3")
+@query(f"WITH {VALUES}, s AS (SELECT file, line_no, regexp_extract(line, '(\\w+)\\s*=\\s*\\w+\\(', 1) AS source FROM src), c AS (SELECT file, line_no AS c, regexp_extract(line, 'if\\s*\\(\\s*!?\\s*(\\w+)', 1) AS source FROM src) SELECT s.file AS file, s.line_no AS line_no, s.source AS source, min(c) AS checked_at FROM s LEFT JOIN c ON c.file = s.file AND c.source = s.source AND c.c > s.line_no AND c.c <= s.line_no + 8 WHERE s.source <> '' GROUP BY 1, 2, 3")
 def error_topology(t: Tables) -> DataFrame:
     """Calls whose result is checked, and where."""
     return sourcescan.error_checks(_source(t))
 
 
-@query()
+@query(rf"""WITH {VALUES}, a AS (SELECT *, row_number() OVER (PARTITION BY file, name ORDER BY line_no) AS k FROM (SELECT file, line_no, regexp_extract(line, '(\w+)\s*=\s*open\(', 1) AS name FROM src) WHERE name <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY file, name ORDER BY line_no) AS k FROM (SELECT file, line_no, regexp_extract(line, 'close\((\w+)\)', 1) AS name FROM src) WHERE name <> '')
+SELECT a.file AS file, a.name AS name, a.line_no AS acquired, r.line_no AS released FROM a LEFT JOIN r ON r.file = a.file AND r.name = a.name AND r.k = a.k""")
 def resource_facts(t: Tables) -> DataFrame:
     """Acquired and released descriptors."""
     return sourcescan.resources(_source(t), r"(\w+)\s*=\s*open\(", r"close\((\w+)\)")
 
 
-@query()
+@query(rf"""WITH {VALUES}, n AS (SELECT file, line_no, regexp_extract(line, '(\w+)\s*=\s*open\(', 1) AS result, coalesce(string_agg(line, chr(10)) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), '') AS nxt FROM src)
+SELECT file, line_no, result, regexp_matches(nxt, 'if\s*\(\s*!?\s*' || result) AS guarded, regexp_matches(nxt, '\breturn\b') AS returns FROM n WHERE result <> ''""")
 def fault_simulation(t: Tables) -> DataFrame:
     """What happens if a call fails."""
     return sourcescan.fault_branches(_source(t), "open")
 
 
+@query(rf"""WITH {VALUES}, a AS (SELECT regexp_extract(line, 'if \((\w+) < 0', 1) AS name, file || ':' || line_no AS limit_at, file FROM src), b AS (SELECT regexp_extract(line, 'exec\((\w+)', 1) AS name, line_no AS used_at, file FROM src)
+SELECT a.name AS name, limit_at, used_at, b.file AS used_in FROM a JOIN b ON a.name = b.name AND a.file = b.file WHERE a.name <> ''""")
+def pressure_impact(t: Tables) -> DataFrame:
+    """Checks of a value's range and the uses of it in the same file."""
+    return sourcescan.pressure(_source(t), r"if \((\w+) < 0", r"exec\((\w+)", same_file=True)
+
+
 LINE_RULES = [("memory", "open", r"\bopen\("), ("memory", "close", r"\bclose\("), ("flow", "switch", r"\bswitch\b"), ("flow", "return", r"\breturn\b")]
 
 

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 from skein import api
 from skein.functions import scalars
 from skein.operators import components, hierarchy, joins, packing, rank, search, sourcescan, textops, traversal
-from skein.plans import phases, state_queries
+from skein.plans import phases
 from skein.sources import files
-from skein.sources.graph import Tables
 
 
 def edges(spark, pairs, weight=1):
@@ -107,25 +106,30 @@ def test_signal_clusters_are_transitive(spark):
     assert as_dict(textops.signal_clusters(s, "k", "s"), "k", "cluster") == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+CLASSES = [("A", "B", 1), ("A", "C", 2), ("B", "D", 1), ("C", "D", 1), ("D", "O", 1), ("X", "Y", 1), ("X", "Z", 2), ("Y", "Z", 1), ("Z", "O", 1), ("P", "Q", 1), ("Q", "P", 1)]
+METHODS = [("A", "run"), ("B", "run"), ("C", "stop"), ("D", "run"), ("D", "stop"), ("O", "init"), ("Y", "go"), ("Z", "go"), ("X", "go")]
+SOURCE = ["enum S {", "  IDLE,", "  RUNNING,", "  DONE", "};", "switch (state) {", "case IDLE: state = RUNNING; break;", "case RUNNING:", "  state = DONE;", "case DONE: state = BROKEN;", "}",
+          "fd = open(path);", "if (fd < 0) return -1;", "n = read(fd);", "buf = recv(sock);", "cmd = buf;", "exec(cmd);", "safe = escape(buf);", "exec(safe);", "lock(a);", "lock(b);", "unlock(b);", "unlock(a);", "lock(b);", "lock(a);", "unlock(a);", "unlock(b);", "close(fd);"]
+
+
 def test_c3(spark):
-    assert hierarchy.c3("A", {"A": ["B", "C"], "B": ["D"], "C": ["D"]}) == ["A", "B", "C", "D"]
-    assert hierarchy.c3("A", {"A": ["B", "C"], "C": ["B"]}) is None  # B before C, and C before B
-    assert hierarchy.c3("P", {"P": ["Q"], "Q": ["P"]}) is None
-    t = Tables(spark, "")
-    got = as_dict(state_queries.QUERIES["c3_linearisation"](spark, ""), "id", "mro")
+    assert hierarchy.merge_c3("A", ["B", "C"], [["B", "D"], ["C", "D"]]) == ["A", "B", "C", "D"]
+    assert hierarchy.merge_c3("A", ["B", "C"], [["B"], ["C", "B"]]) is None  # B before C, and C before B
+    mro = hierarchy.linearise(spark.createDataFrame(CLASSES, "child string, parent string, pos int"))
+    got = as_dict(mro.select("id", F.array_join("mro", ",").alias("m")), "id", "m")
     assert got["A"] == "A,B,C,D,O" and got["X"] == "X,Y,Z,O" and got["P"] is None
-    owners = {(r.id, r.method): r.owner for r in state_queries.QUERIES["method_lookup"](spark, "").collect()}
+    owners = {(r.id, r.method): r.owner for r in hierarchy.lookup(mro, spark.createDataFrame(METHODS, "owner string, method string")).collect()}
     assert owners["A", "stop"] == "C" and owners["A", "run"] == "A" and owners["B", "stop"] == "D"
-    del t
 
 
 def test_line_scans(spark):
-    q = lambda name: [tuple(r) for r in state_queries.QUERIES[name](spark, "").collect()]
-    assert sorted(q("fsm_transitions")) == [("a.c", 7, "IDLE", "RUNNING", True), ("a.c", 9, "RUNNING", "DONE", True), ("a.c", 10, "DONE", "BROKEN", False)]
-    assert q("taint_trace") == [("a.c", 15, 17, "cmd")]
-    assert q("lock_inversions") == [("a", "b", 1)]
-    assert q("resource_facts") == [("a.c", "fd", 12, 28)]
-    assert q("fault_simulation") == [("a.c", 12, "fd", True, True)]
+    source = spark.createDataFrame([("a.c", i + 1, x) for i, x in enumerate(SOURCE)], "file string, line_no int, line string")
+    rows = lambda df: [tuple(r) for r in df.collect()]
+    assert sorted(rows(sourcescan.fsm(source)[1])) == [("a.c", 7, "IDLE", "RUNNING", True), ("a.c", 9, "RUNNING", "DONE", True), ("a.c", 10, "DONE", "BROKEN", False)]
+    assert rows(sourcescan.taint(source, r"\brecv\(", r"\bescape\(", r"\bexec\(")) == [("a.c", 15, 17, "cmd")]
+    assert rows(sourcescan.lock_inversions(source)) == [("a", "b", 1)]
+    assert rows(sourcescan.resources(source, r"(\w+)\s*=\s*open\(", r"close\((\w+)\)")) == [("a.c", "fd", 12, 28)]
+    assert rows(sourcescan.fault_branches(source, "open")) == [("a.c", 12, "fd", True, True)]
     lines = spark.createDataFrame([("f", 1, "limit: pool"), ("f", 7, "use: pool")], "file string, line_no int, line string")
     assert sourcescan.pressure(lines, r"limit: (\w+)", r"use: (\w+)").collect()[0].used_at == 7
 
