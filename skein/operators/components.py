@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, rounds: int | N
     clean = edges.where("src IS NOT NULL AND dst IS NOT NULL")
     now = clean.select(u.alias("u"), v.alias("v")).where("u > v").distinct()
     if rounds is None:
-        now = stage(now, "edges")
+        now = stage(now, "edges", broadcast=False)
     mark = None
     for _ in range(max_rounds if rounds is None else rounds):
         both = now.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("e"))
@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, rounds: int | N
         done = Observation()
         made = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         made = made.observe(done, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-        was, now = now, stage(made, "stars")
+        was, now = now, stage(made, "stars", broadcast=False)
         discard(was)
         seen = done.get
         if (seen["n"], seen["h"]) == mark:

@@ -29,24 +29,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, broadcast: bool = True) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here and survives lost executors.
 
-    The write's shuffle files serve nothing afterwards, so Spark is told to drop them when it ends.
+    The write's shuffle files serve nothing afterwards, so Spark is told to drop them when it ends. ``broadcast=False``
+    keeps Spark from broadcasting join sides: rounds over tables that grow with the input gain nothing from it, and every
+    one costs the driver threads and memory.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true"} | ({} if broadcast else {_BROADCAST: "-1"})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._skein_path = path
     return out
