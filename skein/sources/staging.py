@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -32,6 +33,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
 
 
+#: Spark forgets broadcasts, shuffles and plans of finished jobs when the driver's garbage is collected, which a driver that
+#: only plans seldom does by itself: long iterations ask for it once in so many staged tables.
+CLEAN_EVERY = 6
+_staged = itertools.count(1)
+
+
 def stage(df: DataFrame, name: str, broadcast: bool = True) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here and survives lost executors.
 
@@ -50,6 +57,8 @@ def stage(df: DataFrame, name: str, broadcast: bool = True) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    if next(_staged) % CLEAN_EVERY == 0:
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._skein_path = path
     return out
