@@ -183,7 +183,8 @@ class LanguageModel:
     cache: dict = field(default_factory=dict)
     rows: np.ndarray | None = None
 
-    CACHE_WORDS = 200_000  # a bound on memory: further words are computed each time
+    BLOCK = 8192
+    CACHE_WORDS = 100_000  # a bound on memory: further words are computed each time
 
     def word_logs(self, words: pa.Array) -> np.ndarray:
         """Log probability of each distinct word, per language."""
@@ -195,11 +196,12 @@ class LanguageModel:
         out[known >= 0] = self.rows[known[known >= 0]]
         new = np.flatnonzero(known < 0)
         if len(new):
-            _, got = Lattice.build(self.trie, words.take(pa.array(new))).forward(self.prob)
-            out[new] = got
-            for j in range(min(len(new), self.CACHE_WORDS - len(self.cache))):
-                self.rows[len(self.cache)] = got[j]
-                self.cache[text[new[j]]] = len(self.cache)
+            for a in range(0, len(new), self.BLOCK):  # a lattice holds some words at a time
+                some = new[a : a + self.BLOCK]
+                _, out[some] = Lattice.build(self.trie, words.take(pa.array(some))).forward(self.prob)
+            for j in new[: self.CACHE_WORDS - len(self.cache)].tolist():
+                self.rows[len(self.cache)] = out[j]
+                self.cache[text[j]] = len(self.cache)
         return out
 
     def with_background(self) -> LanguageModel:
@@ -269,7 +271,7 @@ def fit_from(docs: DataFrame, vocabulary_path: str, max_docs_per_lang: int = 300
     return fit(rows["text"].tolist(), rows["lang"].tolist(), vocabulary(vocabulary_path))
 
 
-def identify(docs: DataFrame, model: LanguageModel, max_bytes: int = 2_000_000, evidence: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, max_bytes: int = 1_000_000, evidence: bool = False) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score`` (columns of these names are replaced).
 
     The whole text counts. Null, empty and letterless texts get ``und`` and 0. Equal texts get equal results. With

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import stage
+from skein.llm.textbatch import slices
 
 END_OF_DOCUMENT = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -86,18 +87,19 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 1024
         if not held:
             held.append(ByteBpe(tokenizer_path))
         bpe = held[0]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+        n = 6 if with_ids else 5
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(bpe.ids(text.as_py() or ""), np.uint32(END_OF_DOCUMENT)).astype("<u4")
-                starts = piece_starts(len(ids), max_tokens)
-                for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
-                    for c, v in zip(cols, (doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), ids[a:b].astype(np.int32) if with_ids else None), strict=True):
-                        c.append(v)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            n = 6 if with_ids else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], types[:n], strict=True)], names[:n])
+            for part in slices(batch, 1, 1_000_000):
+                cols: list[list] = [[] for _ in names]
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    ids = np.append(bpe.ids(text.as_py() or ""), np.uint32(END_OF_DOCUMENT)).astype("<u4")
+                    starts = piece_starts(len(ids), max_tokens)
+                    for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
+                        for c, v in zip(cols, (doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), ids[a:b].astype(np.int32) if with_ids else None), strict=True):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], types[:n], strict=True)], names[:n])
 
     own = docs.select(F.col("doc_id").cast("long"), "text")
     return own.mapInArrow(run, PIECES_IDS if with_ids else PIECES)
