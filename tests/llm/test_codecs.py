@@ -56,7 +56,7 @@ def test_warc_byte_ranges_give_each_record_once(step):
             members.seek_first()
         for m in members:
             h = m.headers()
-            seen.append((h["WARC-Record-ID"], len(m.payload(int(h["Content-Length"])))))
+            seen.append((h["warc-record-id"], len(m.payload(int(h["content-length"])))))
     assert seen == [(f"<{i}>", i * 7) for i in range(60)]
 
 
