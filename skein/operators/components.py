@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, rounds: int | N
         both = now.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("e"))
         both = both.select("e.a", "e.b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u > v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         done = Observation()
@@ -44,9 +44,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, rounds: int | N
     else:
         if rounds is None:
             raise RuntimeError("components did not settle")
-        # a vertex may still have several smaller ends: the smallest names it
-        now = now.groupBy("u").agg(F.min("v").alias("v"))
-    roots = now.select(F.col("v").alias("id")).distinct()
-    if rounds is not None:
-        roots = roots.join(now.select(F.col("u").alias("id")), "id", "left_anti")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
+    # a vertex may still have several smaller ends, and be one itself: the smallest names it
+    ends = F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("component")), F.struct(F.col("v").alias("id"), F.col("v").alias("component")))
+    return now.select(F.explode(ends).alias("e")).groupBy("e.id").agg(F.min("e.component").alias("component"))
