@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat, embed_dedup, filter_audit, flac, langid, mixing, ngram_join, packing, quality, suffix_array, warc
+from skein.llm import chat, embed_dedup, filter_audit, flac, langid, mixing, ngram_join, packing, quality, suffix_array, superkmer, warc
 from skein.llm.common import id_bucket
 
 
@@ -106,13 +106,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every whole text once each word of a 20-word window that also starts earlier is removed."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cut = superkmer.remove_repeats(docs, 20)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove from every part of the whole documents, in each of their 120 orders."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return filter_audit.audit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic"))
 
 
-QUERIES = (op1_warc, op2_best_fit_packing, op3_quality_classifier, op4_ngram_jaccard, op5_embedding_dedup, op6_media_columns, op7_mixing_sources, op8_chat_formatting, op9_suffix_array_dedup, op10_language_id, op12_filter_audit)
+QUERIES = (op1_warc, op2_best_fit_packing, op3_quality_classifier, op4_ngram_jaccard, op5_embedding_dedup, op6_media_columns, op7_mixing_sources, op8_chat_formatting, op9_suffix_array_dedup, op10_language_id, op11_substring_dedup, op12_filter_audit)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -142,6 +149,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY idx) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(shown)::BIGINT AS formatted_chars FROM k GROUP BY conv_id"""
 
 
+OP11_SQL = r"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t WHERE len(w) >= 20),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i : i + 19], ' ') ORDER BY doc_id, i) AS k FROM p) WHERE k > 1),
+e AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM t),
+c AS (SELECT DISTINCT doc_id, i + k AS j FROM late, range(0, 20) r(k)),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS kept, count(*) AS n FROM e ANTI JOIN c USING (doc_id, j) GROUP BY doc_id)
+SELECT t.doc_id AS doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id"""
+
 OP12_SQL = r"""WITH l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
 t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
 d AS (SELECT part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > least, false)] AS f, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM t LEFT JOIN l USING (doc_id)),
@@ -155,4 +170,4 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express on whole tables; the others are tested against brute force."""
-    return {"op1_warc": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op8_chat_formatting": OP8_SQL, "op12_filter_audit": OP12_SQL}
+    return {"op1_warc": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op8_chat_formatting": OP8_SQL, "op11_substring_dedup": OP11_SQL, "op12_filter_audit": OP12_SQL}
