@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat, embed_dedup, filter_audit, flac, langid, mixing, ngram_join, packing, quality, suffix_array, superkmer, warc
+from skein.llm import chat, embed_dedup, filter_audit, flac, hard_negatives, langid, mixing, ngram_join, packing, quality, suffix_array, superkmer, warc
 from skein.llm.common import id_bucket
 
 
@@ -119,7 +119,14 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic"))
 
 
-QUERIES = (op1_warc, op2_best_fit_packing, op3_quality_classifier, op4_ngram_jaccard, op5_embedding_dedup, op6_media_columns, op7_mixing_sources, op8_chat_formatting, op9_suffix_array_dedup, op10_language_id, op11_substring_dedup, op12_filter_audit)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of five positives of every anchor, the rows whose id is divisible by 100."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.integer_vectors(rows.withColumn("label", label)), F.col("id") % 100 == 0)
+
+
+QUERIES = (op1_warc, op2_best_fit_packing, op3_quality_classifier, op4_ngram_jaccard, op5_embedding_dedup, op6_media_columns, op7_mixing_sources, op8_chat_formatting, op9_suffix_array_dedup, op10_language_id, op11_substring_dedup, op12_filter_audit, op13_hard_negatives)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -168,6 +175,14 @@ r AS (SELECT part, list_aggregate(list_transform(o, lambda i: chr((64 + i)::INT)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
 
 
+OP13_SQL = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS alike, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE alike) WHERE k <= 5),
+n AS (SELECT p.a, p.b, p.score AS ps, s.b AS c, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS k FROM p JOIN s ON s.a = p.a AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT a AS anchor_id, b AS positive_id, k::INT AS rank, c AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE k <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express on whole tables; the others are tested against brute force."""
-    return {"op1_warc": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op8_chat_formatting": OP8_SQL, "op11_substring_dedup": OP11_SQL, "op12_filter_audit": OP12_SQL}
+    return {"op1_warc": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op8_chat_formatting": OP8_SQL, "op11_substring_dedup": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_hard_negatives": OP13_SQL}
