@@ -16,11 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import wordscan
-from skein.llm.common import stage, with_fields
+from skein.llm.common import discard, stage, with_fields
 from skein.llm.shingles import mix
 from skein.llm.textbatch import flat_bytes, slices
 
@@ -29,6 +30,7 @@ SLICE_BYTES = 3_000_000
 PIECE = 400_000  # windows worked on together: bounds what a very long text needs
 HOT_SHARE = 1 / 1024  # of all super-k-mers
 GROUP_ROWS = 50_000  # of one bucket key that are sorted in memory; more go window by window
+SAMPLE = 8000  # strings that the compression dictionary is made from
 LAST = (1 << 63) - 1
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -121,11 +123,13 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarr
 
 
 def _frequent(window: int):
-    """The minimisers of a task that hold a noticeable share of its super-k-mers, and ``h`` null: how many it has."""
+    """The minimisers of a task that hold a noticeable share of its super-k-mers, and ``h`` null: how many it has. Rows of
+    ``s`` are a few of its strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         counts: dict[int, int] = {}
+        sample: list[str] = []
         total = 0
 
         def count() -> None:  # of the rare none is kept: a key loses at most an eighth of the share
@@ -137,26 +141,55 @@ def _frequent(window: int):
             held.clear()
 
         for words, _, _ in _slices(batches):
-            for _, _, h in _windows(words, window):
+            for first, n, h in _windows(words, window):
                 total += len(h)
                 held.append(h)
+                if not sample:
+                    some = np.linspace(0, len(h) - 1, min(len(h), 200)).astype(np.int64)
+                    sample = _strings(words, first[some], n[some] + window - 1).to_pylist()
                 if sum(map(len, held)) > 1 << 19:
                     count()
         if held:
             count()
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.int64()), pa.array([total, *counts.values()], pa.int64())], ["h", "n"])
+            h, n = [None, *counts, *(None for _ in sample)], [total, *counts.values(), *(0 for _ in sample)]
+            s = [*(None for _ in range(len(counts) + 1)), *sample]
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.string())], ["h", "n", "s"])
 
     return run
 
 
-def frequent_minimisers(texts: DataFrame, window: int) -> np.ndarray:
-    """Minimisers that hold over ``HOT_SHARE`` of all super-k-mers: at most 1 / ``HOT_SHARE`` numbers, sorted. They decide
-    how rows are dealt out, never what is found."""
-    counts = texts.mapInArrow(_frequent(window), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+def survey(texts: DataFrame, window: int) -> tuple[np.ndarray, bytes]:
+    """Minimisers that hold over ``HOT_SHARE`` of all super-k-mers, at most 1 / ``HOT_SHARE`` of them, sorted; and a
+    compression dictionary made from ``SAMPLE`` strings. They decide how rows are dealt out and packed, never what is found."""
+    seen = stage(texts.mapInArrow(_frequent(window), "h long, n long, s string"), "survey")
+    counts = seen.where("s IS NULL").groupBy("h").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.col("h").isNull().desc(), F.col("n").desc()).limit(1 + int(1 / HOT_SHARE)).collect()
     total = sum(r.n for r in rows if r.h is None)
-    return np.sort(np.array([r.h for r in rows if r.h is not None and r.n > total * HOT_SHARE], np.int64).view(np.uint64))
+    hot = np.sort(np.array([r.h for r in rows if r.h is not None and r.n > total * HOT_SHARE], np.int64).view(np.uint64))
+    sample = [r.s.encode() for r in seen.where("s IS NOT NULL").select("s").limit(SAMPLE).collect()]
+    discard(seen)
+    try:
+        return hot, zstandard.train_dictionary(1 << 16, sample, level=1).as_bytes()
+    except zstandard.ZstdError:  # too few or too uniform: then without
+        return hot, b""
+
+
+class Packer:
+    """Strings compressed one by one with a dictionary."""
+
+    def __init__(self, dictionary: bytes):
+        known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if known:
+            known.precompute_compress(level=1)
+        self._pack = zstandard.ZstdCompressor(level=1, dict_data=known, write_dict_id=False, write_checksum=False).compress
+        self._unpack = zstandard.ZstdDecompressor(dict_data=known).decompress
+
+    def pack(self, strings: pa.Array) -> pa.Array:
+        return pa.array([self._pack(x) for x in strings.cast(pa.large_binary()).to_pylist()], pa.binary())
+
+    def unpack(self, packed: pa.Array) -> pa.Array:
+        return pa.array([self._unpack(x) for x in packed.to_pylist()], pa.binary()).cast(pa.string())
 
 
 def _single(words: Words, first: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,11 +202,12 @@ def _single(words: Words, first: np.ndarray, n: np.ndarray, window: int) -> tupl
     return at, acc
 
 
-def _deal(window: int, hot: np.ndarray):
-    """Rows for the buckets: ``h`` the key, ``doc, th, a`` where the string's first window is, ``n`` windows, ``s`` the string.
+def _deal(window: int, hot: np.ndarray, dictionary: bytes):
+    """Rows for the buckets: ``h`` the key, ``doc, th, a`` where the string's first window is, ``n`` windows, ``s`` the packed string.
     Strings that occur earlier in the same slice aren't sent: their windows come as rows without a string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(dictionary)
         for words, doc, th in _slices(batches):
             own = np.repeat(np.arange(len(words.counts)), words.counts)
             for first, n, h in _windows(words, window):
@@ -193,7 +227,7 @@ def _deal(window: int, hot: np.ndarray):
                 # a document that is there twice sends its strings once
                 sent = np.flatnonzero(send)
                 sent = sent[np.unique(code[sent], return_index=True)[1]]
-                yield _rows(h[sent], doc[text[sent]], th[text[sent]], a[sent], n[sent], strings.take(pa.array(sent)))
+                yield _rows(h[sent], doc[text[sent]], th[text[sent]], a[sent], n[sent], packer.pack(strings.take(pa.array(sent))))
                 late = np.flatnonzero(~send)
                 if len(late):
                     late = late[np.lexsort((a[late], text[late]))]
@@ -202,13 +236,13 @@ def _deal(window: int, hot: np.ndarray):
                     at = np.flatnonzero(new)
                     runs = np.add.reduceat(z, at)
                     key = mix(th[x[at]].view(np.uint64) + y[at].astype(np.uint64))
-                    yield _rows(key, doc[x[at]], th[x[at]], y[at], runs, pa.nulls(len(at), pa.large_string()))
+                    yield _rows(key, doc[x[at]], th[x[at]], y[at], runs, pa.nulls(len(at), pa.binary()))
 
     return run
 
 
 def _rows(h, doc, th, a, n, s) -> pa.RecordBatch:
-    columns = [pa.array(h.view(np.int64)), pa.array(doc), pa.array(th), pa.array(a), pa.array(n), s.cast(pa.string())]
+    columns = [pa.array(h.view(np.int64)), pa.array(doc), pa.array(th), pa.array(a), pa.array(n), s]
     return pa.RecordBatch.from_arrays(columns, ["h", "doc", "th", "a", "n", "s"])
 
 
@@ -231,9 +265,9 @@ def window_names(strings: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray
 _FOUND = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("a", pa.int64()), ("n", pa.int64()), ("s", pa.string())])
 
 
-def _first_only(rows: pa.Table, window: int) -> pa.RecordBatch:
+def _first_only(rows: pa.Table, packer: Packer, window: int) -> pa.RecordBatch:
     """Windows of whole bucket keys that occur earlier, as runs ``doc, th, a, n``."""
-    name, n = window_names(rows.column("s").combine_chunks(), window)
+    name, n = window_names(packer.unpack(rows.column("s")), window)
     doc, th, a = (rows.column(c).to_numpy() for c in ("doc", "th", "a"))
     row = np.repeat(np.arange(len(doc)), n)
     rank = _ranks(doc, th, a)[row]
@@ -247,57 +281,59 @@ def _first_only(rows: pa.Table, window: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(th[at]), pa.array(a[at] + i[begin]), pa.array(end - begin + 1), pa.nulls(len(at), pa.string())], schema=_FOUND)
 
 
-def _open(rows: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
+def _open(rows: pa.RecordBatch, packer: Packer, window: int) -> Iterator[pa.RecordBatch]:
     """The windows of rows of a key that has too many, one by one with their words."""
     for at in range(0, rows.num_rows, 2000):
         out = []
-        for r in rows.slice(at, 2000).to_pylist():
-            w = r["s"].split(" ")
+        part = rows.slice(at, 2000)
+        for r, s in zip(part.drop_columns("s").to_pylist(), packer.unpack(part.column("s")).to_pylist(), strict=True):
+            w = s.split(" ")
             out += [{"doc": r["doc"], "th": r["th"], "a": r["a"] + i, "n": 1, "s": " ".join(w[i : i + window])} for i in range(len(w) - window + 1)]
         yield pa.RecordBatch.from_pylist(out, _FOUND)
 
 
-def _buckets(window: int, group_rows: int):
+def _buckets(window: int, group_rows: int, dictionary: bytes):
     """Repeats among rows that come sorted by key, some whole keys at a time."""
 
-    def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def done(parts: list[pa.RecordBatch], packer: Packer) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts)
         h = rows.column("h").to_numpy()
         again = np.r_[False, h[1:] == h[:-1]]
         several = again | np.r_[again[1:], False]  # a single string repeats none of its windows
         if several.any():
-            yield _first_only(rows.filter(pa.array(several)), window)
+            yield _first_only(rows.filter(pa.array(several)), packer, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        packer, held = Packer(dictionary), []
         key, wide = None, False  # of the rows that are held; whether the last key had too many
         for batch in batches:
             passed = pc.is_null(batch.column("s"))
             if passed.true_count:
-                yield batch.filter(passed).select(_FOUND.names)
+                some = batch.filter(passed)
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in _FOUND.names[:-1]), pa.nulls(some.num_rows, pa.string())], schema=_FOUND)
                 batch = batch.filter(pc.invert(passed))
             if not batch.num_rows:
                 continue
             h = batch.column("h").to_numpy()
             if wide:
                 same = int(np.searchsorted(h != key, True))
-                yield from _open(batch.slice(0, same), window)
+                yield from _open(batch.slice(0, same), packer, window)
                 batch, h = batch.slice(same), h[same:]
                 if not len(h):
                     continue
                 wide = False
             last = int(np.searchsorted(h == h[-1], True))  # where the rows of the last key begin: more may come
             if last or (held and key != h[-1]):
-                yield from done([*held, batch.slice(0, last)])
+                yield from done([*held, batch.slice(0, last)], packer)
                 held = []
             held.append(batch.slice(last))
             key = h[-1]
             if sum(x.num_rows for x in held) > group_rows:
                 for part in held:
-                    yield from _open(part, window)
+                    yield from _open(part, packer, window)
                 held, wide = [], True
         if held:
-            yield from done(held)
+            yield from done(held, packer)
 
     return run
 
@@ -306,10 +342,10 @@ def repeated_windows(texts: DataFrame, window: int = 20, group_rows: int = GROUP
     """``doc, th, a, n``: runs of ``n`` windows of ``window`` words, from word ``a`` on, each of which occurs earlier.
 
     ``texts`` has ``doc`` and ``th`` (longs, which name and order the documents) and ``text``, none of them null."""
-    hot = frequent_minimisers(texts, window)
-    sent = texts.mapInArrow(_deal(window, hot), "h long, doc long, th long, a long, n long, s string")
+    hot, dictionary = survey(texts, window)
+    sent = texts.mapInArrow(_deal(window, hot, dictionary), "h long, doc long, th long, a long, n long, s binary")
     dealt = sent.repartition("h").sortWithinPartitions("h")
-    found = stage(dealt.mapInArrow(_buckets(window, group_rows), "doc long, th long, a long, n long, s string"), "repeats")
+    found = stage(dealt.mapInArrow(_buckets(window, group_rows, dictionary), "doc long, th long, a long, n long, s string"), "repeats")
     wide = found.where("s IS NOT NULL")
     place = F.struct("doc", "th", "a")
     first = wide.groupBy("s").agg(F.min(place).alias("f"))
