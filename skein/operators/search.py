@@ -36,18 +36,22 @@ def tokens(text: str | Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, top: int, doc_id: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """``query_id, doc_id, score, rank``: the ``top`` documents of every query (query_id, query).
 
-    One pass makes term frequencies; document frequencies and the mean length are aggregates of it. Query terms meet
-    postings by an equality on the term, so documents without a query term never travel. Any term may match; each distinct
+    One pass makes the lengths and the frequencies of the terms that are asked for; document frequencies and the mean length
+    are aggregates of it. Query terms meet tokens by an equality, so other tokens are never shuffled. Any term may match; each distinct
     query term counts once. Scores are rounded to six places before ranking, ties go to the smaller id.
     """
-    tf = docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(text)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    tf = stage(tf, "postings")  # read three times: texts are tokenised once
-    length = tf.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    stats = docs.agg(F.count("*").alias("n")).crossJoin(length.agg(F.sum("len").alias("total")))  # one row each
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
-    post = tf.join(terms.select("term").distinct(), "term", "left_semi")
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(tokens(text), F.array().cast("array<string>")).alias("found"))
+    # an empty term stands for the document; of the others only those that are asked for are grouped
+    each = found.select("doc_id", F.size("found").alias("size"), F.explode(F.concat(F.array(F.lit("")), "found")).alias("term"))
+    asked = terms.select("term").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    each = each.join(asked, "term", "left_semi").groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf"))
+    each = stage(each, "postings")  # texts are tokenised once
+    length = each.where("term = ''").groupBy("doc_id").agg(F.sum(F.col("size") * F.col("tf")).alias("len"), F.sum("tf").alias("n"))
+    stats = length.agg(F.sum("n").alias("n"), F.sum("len").alias("total"))
+    post = each.where("term <> ''").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    rows = terms.join(post, "term").join(df, "term").join(length, "doc_id").crossJoin(F.broadcast(stats))
+    rows = terms.join(post, "term").join(df, "term").join(length.drop("n"), "doc_id").crossJoin(F.broadcast(stats))  # one row
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / (F.col("total") / F.col("n")))
     scored = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(idf * F.col("tf") * (k1 + 1) / norm), 6).alias("score"))
