@@ -19,9 +19,10 @@ from skein.sources.snapshots import SnapshotStore
 from skein.sources.staging import stage
 
 
-def _terms(text: Column) -> Column:
-    """Stems of the lower-case runs of ASCII letters and digits."""
-    return stem_all(tokens(F.coalesce(text, F.lit(""))))
+def _terms(text: Column, stems: bool) -> Column:
+    """Lower-case runs of ASCII letters and digits, or their stems."""
+    found = tokens(F.coalesce(text, F.lit("")))
+    return stem_all(found) if stems else found
 
 
 def documents(table: str, rows: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
@@ -30,12 +31,12 @@ def documents(table: str, rows: DataFrame, key: str, fields: tuple[str, ...]) ->
     return rows.select(F.lit(table).alias("tbl"), F.col(key).cast("string").alias("doc"), texts.alias("fields"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, stems: bool = True) -> DataFrame:
     """``tbl, term, doc, tfs, len``: how often a term is in each field of a document, and the document's terms in all.
     A document has a row of the empty term besides, with the same length."""
     n = F.size("fields")
     each = docs.where(F.col("doc").isNotNull()).select("tbl", "doc", n.alias("n"), F.posexplode("fields").alias("field", "text"))
-    each = each.select("tbl", "doc", "n", "field", F.explode(F.concat(F.array(F.lit("")), _terms(F.col("text")))).alias("term"))
+    each = each.select("tbl", "doc", "n", "field", F.explode(F.concat(F.array(F.lit("")), _terms(F.col("text"), stems))).alias("term"))
     tf = each.groupBy("tbl", "doc", "n", "field", "term").agg(F.count("*").alias("tf"))
     per = tf.groupBy("tbl", "doc", "n", "term").agg(F.map_from_entries(F.collect_list(F.struct("field", "tf"))).alias("by"))  # a few fields
     tfs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.element_at("by", i), F.lit(0)).cast("long"))
@@ -52,11 +53,12 @@ def _all(tfs: str) -> Column:
 class TextIndex:
     """The index below ``root``. Stores: ``postings`` by table and term, ``lexicon`` with the facts of every term. The rows
     of the empty term stand for the documents themselves: their number and mean length are read off its lexicon line. A
-    bucket of a common term is written by several tasks, to several files."""
+    bucket of a common term is written by several tasks, to several files. Without ``stems`` words are terms as they are."""
 
     spark: SparkSession
     root: str
     buckets: int = 64
+    stems: bool = True
 
     def _store(self, name: str, key: tuple[str, ...]) -> SnapshotStore:
         return SnapshotStore(self.spark, f"{self.root}/{name}", key, self.buckets)
@@ -76,7 +78,7 @@ class TextIndex:
     def build(self, docs: DataFrame) -> TextIndex:
         """Writes the index of ``docs`` (tbl, doc, fields); texts are tokenised here and never again. Ids are unique in a
         table, null ones are left out; null and empty texts have no terms."""
-        self._postings.write(stage(postings(docs), "postings"))
+        self._postings.write(stage(postings(docs, self.stems), "postings"))
         self._lexicon.write(self._facts(self._postings.read()))
         return self
 
@@ -86,7 +88,7 @@ class TextIndex:
         old = self._postings.read()
         ids = docs.select("tbl", "doc").distinct()
         ids = ids.unionByName(removed.select("tbl", F.col("doc").cast("string").alias("doc"))).distinct() if removed is not None else ids
-        new = stage(postings(docs), "delta")
+        new = stage(postings(docs, self.stems), "delta")
         gone = stage(old.join(ids, ["tbl", "doc"], "left_semi").select("tbl", "term").distinct(), "gone")
         touched = stage(gone.unionByName(new.select("tbl", "term")).distinct(), "touched")
         # whole terms are replaced: their other documents, and the new ones
@@ -105,7 +107,7 @@ class TextIndex:
         Terms are met by their bound first: those that together can't lift a document over the ``top``-th score that the
         strongest term alone gives are only looked up for documents that also have another term.
         """
-        terms = queries.select("query_id", F.explode(F.array_distinct(_terms(F.col("query")))).alias("term"))
+        terms = queries.select("query_id", F.explode(F.array_distinct(_terms(F.col("query"), self.stems))).alias("term"))
         terms = stage(terms.where("term <> ''"), "terms")
         buckets = [r[0] for r in terms.crossJoin(_tables(self._lexicon, tables)).select(self._postings.bucket().alias("b")).distinct().collect()]  # at most one a bucket
         lexicon = self._lexicon.read()
