@@ -50,11 +50,12 @@ def bm25(docs: DataFrame, queries: DataFrame, top: int, doc_id: str = "doc_id",
     length = each.where("term = ''").groupBy("doc_id").agg(F.sum(F.col("size") * F.col("tf")).alias("len"), F.sum("tf").alias("n"))
     stats = length.agg(F.sum("n").alias("n"), F.sum("len").alias("total"))
     post = each.where("term <> ''").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    rows = terms.join(post, "term").join(df, "term").join(length.drop("n"), "doc_id").crossJoin(F.broadcast(stats))  # one row
+    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / (F.col("total") / F.col("n")))
-    scored = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(idf * F.col("tf") * (k1 + 1) / norm), 6).alias("score"))
+    # what a posting adds to a score is worked out once, not for every query that asks for its term
+    part = post.join(df, "term").join(length.drop("n"), "doc_id").select("term", "doc_id", (idf * F.col("tf") * (k1 + 1) / norm).alias("part"))
+    scored = terms.join(part, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 

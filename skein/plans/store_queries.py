@@ -127,11 +127,10 @@ def fresh_neighbours(t: Tables) -> DataFrame:
 
 @query()
 def frontier_search(t: Tables) -> DataFrame:
-    """Walks over the neighbour table from a vector of the same label, for every hundredth vector: ten hits each."""
+    """Walks over the neighbour table from every hundredth vector itself: ten hits each."""
     store, rows = _neighbours(t), _vectors(t)
     q = t.embeddings.where("vec_id % 100 = 0")
-    entry = t.embeddings.where("label IS NOT NULL").groupBy("label").agg(F.min("vec_id").alias("id"))
-    seeds = q.join(entry, "label").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("pos"), "id")
+    seeds = q.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("pos"), F.col("vec_id").alias("id"))
     queries = q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     found, told = ann.frontier_search(queries, seeds, lambda sources: store.load(sources=sources), rows.select("id", "vector", F.lit(False).alias("stale")))
     return found.join(told, "query_id").select("query_id", "id", F.round("score", 6).alias("score"), "rank", "visited", "truncated", "reason")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from skein import api
 from skein.functions import scalars
-from skein.operators import components, hierarchy, joins, packing, rank, search, sourcescan, textops, traversal
+from skein.operators import analysis, components, hierarchy, joins, packing, rank, search, sourcescan, textops, traversal
 from skein.plans import phases
 from skein.sources import files
 
@@ -228,7 +228,7 @@ def test_result_cache():
 
 
 def test_method_overrides(spark):
-    from skein.plans import analysis_queries
-
-    got = {tuple(r) for r in analysis_queries.QUERIES["method_overrides"](spark, "").collect()}
+    parents = spark.createDataFrame([("A", "B", 0), ("A", "C", 1), ("B", "D", 0), ("C", "D", 0), ("X", "Y", 0), ("Y", "Z", 0)], "child string, parent string, pos int")
+    methods = spark.createDataFrame([("A", "run"), ("B", "run"), ("D", "run"), ("C", "stop"), ("D", "stop"), ("A", "own"), ("X", "go"), ("Y", "go"), ("Z", "go")], "owner string, method string")
+    got = {tuple(r) for r in analysis.overrides(hierarchy.linearise(parents), methods).collect()}
     assert got == {("A", "run", "B"), ("B", "run", "D"), ("C", "stop", "D"), ("X", "go", "Y"), ("Y", "go", "Z")}
