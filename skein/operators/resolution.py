@@ -1,10 +1,12 @@
-"""Which definition a reference means, by evidence; and which file an import means, by suffixes."""
+"""Which definition a reference means, by evidence; which file an import means, by suffixes; what names stand for across files."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.sources.staging import stage
+
 #: Weights of evidence, in thousandths.
 ORIGIN_WEIGHTS = {"local": 550, "import": 450, "reexport": 400, "namespace": 400, "wildcard": 300, "global-qualified": 350, "global-name": 100}
 SCOPE_STEP = -20
@@ -124,3 +126,44 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     met = met.where(~F.col("_rel") | (F.col("whole") & exact))
     best = met.groupBy("_rel", "_key").agg(F.min(F.struct("i", "nth", (~exact).alias("other_case"), "pos", "path")).alias("b")).select("_rel", "_key", F.col("b.path").alias("resolved"))
     return keyed.join(best, ["_rel", "_key"], "left").select(*(F.col(f"`{c}`") for c in imports.columns), "resolved")
+
+
+# --- bindings across files ------------------------------------------------------------------------------------------
+
+
+def propagate_bindings(exports: DataFrame, named: DataFrame, wildcards: DataFrame) -> DataFrame:
+    """``file, name, type, origin, origin_name, hops, exported``: what every name in every file stands for.
+
+    ``exports`` (file, name, type) are a file's own; ``named`` (file, local, source, name, pos, reexport) bind one name of
+    another file under a local one; ``wildcards`` (file, source, pos, reexport) bind all names that another file exports.
+    A file's own exports shadow its imports, and a named import its wildcards, even one that leads nowhere. Else the binding
+    of the fewest hops to its origin holds, then of the smallest ``pos``, then of the smallest source. Only what a file
+    re-exports goes on to those that import it.
+
+    Rounds carry on only the bindings that were new in the round before, and a name that is bound isn't bound again: cycles of
+    imports end by themselves, and there are as many rounds as the longest chain has hops. Null files, names and sources
+    bind nothing; of repeated own exports the smallest type holds (null only if there is no other).
+    """
+    own = exports.where("file IS NOT NULL AND name IS NOT NULL").groupBy("file", "name").agg(F.min("type").alias("type"))
+    own = own.select("file", "name", "type", F.col("file").alias("origin"), F.col("name").alias("origin_name"), F.lit(0).alias("hops"), F.lit(True).alias("exported"))
+    known = stage(own, "bindings")
+    named = named.where("file IS NOT NULL AND local IS NOT NULL AND source IS NOT NULL AND name IS NOT NULL")
+    named = stage(named.select("file", "local", "source", F.col("name").alias("theirs"), "pos", F.coalesce("reexport", F.lit(False)).alias("reexport")), "named")
+    shadowed = named.select("file", F.col("local").alias("name")).distinct()
+    wild = wildcards.where("file IS NOT NULL AND source IS NOT NULL").select("file", "source", "pos", F.coalesce("reexport", F.lit(False)).alias("reexport"))
+    wild = stage(wild, "wild")
+    new, hops = known, 0
+    while True:
+        hops += 1
+        gives = new.where("exported").select(F.col("file").alias("source"), F.col("name").alias("theirs"), "type", "origin", "origin_name")
+        a = named.join(gives, ["source", "theirs"]).select("file", F.col("local").alias("name"), "pos", "source", "reexport", "type", "origin", "origin_name")
+        b = wild.join(gives, "source").select("file", F.col("theirs").alias("name"), "pos", "source", "reexport", "type", "origin", "origin_name")
+        b = b.join(shadowed, ["file", "name"], "left_anti").select(*a.columns)
+        best = F.min(F.struct("pos", "source", "origin", "origin_name", "type", "reexport")).alias("b")
+        found = a.unionByName(b).join(known.select("file", "name"), ["file", "name"], "left_anti").groupBy("file", "name").agg(best)
+        new = stage(found.select("file", "name", "b.type", "b.origin", "b.origin_name", F.lit(hops).alias("hops"), F.col("b.reexport").alias("exported")), "new")
+        if new.isEmpty():
+            return known
+        known = known.unionByName(new)
+        if hops % 8 == 0:
+            known = stage(known, "bindings")

@@ -67,3 +67,17 @@ def import_resolution(t: Tables) -> DataFrame:
     pair = G.follows(t).select(F.substring_index("src", ":", -1).cast("long").alias("a"), F.substring_index("dst", ":", -1).cast("long").alias("b"))
     imports = pair.join(files.select(F.col("pos").alias("a"), F.col("path").alias("file")), "a").join(files.select(F.col("pos").alias("b"), target.alias("target"), language.alias("language")), "b")
     return resolution.resolve_imports(imports.select("file", "target", "language").distinct(), files.select("path", "pos"))
+
+
+@query()
+def binding_propagation(t: Tables) -> DataFrame:
+    """Names of parts carried along orders: every part exports its brand's and its type's name if it is large, binds one of
+    the part that follows it first, and all of the part that follows it last."""
+    f = t.part.select(F.col("p_partkey").alias("file"), "p_brand", "p_type", "p_size")
+    big = f.where("p_size > 25")
+    exports = big.select("file", F.col("p_brand").alias("name"), F.col("p_type").alias("type")).unionByName(big.select("file", F.col("p_type").alias("name"), F.col("p_brand").alias("type")))
+    pair = G.follows(t).select(F.substring_index("src", ":", -1).cast("long").alias("file"), F.substring_index("dst", ":", -1).cast("long").alias("source")).where("file <> source")
+    ends = pair.groupBy("file").agg(F.min("source").alias("first"), F.max("source").alias("last"))
+    named = ends.join(f.select(F.col("file").alias("first"), "p_type"), "first").select("file", F.col("p_type").alias("local"), F.col("first").alias("source"), F.col("p_type").alias("name"), F.lit(0).alias("pos"), (F.col("file") % 3 != 0).alias("reexport"))
+    wild = ends.select("file", F.col("last").alias("source"), F.lit(1).alias("pos"), (F.col("file") % 2 == 0).alias("reexport"))
+    return resolution.propagate_bindings(exports, named, wild)

@@ -1,5 +1,7 @@
 """Evidence, every branch of its ties, and the files that imports mean."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,49 @@ def test_imports(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert all(r.resolved is None for r in resolution.resolve_imports(imports, files.where(F.lit(False))).collect())
+
+
+def bound(exports, named, wild):
+    """Names by rounds over whole files, after the rules."""
+    known = {}
+    for f, n, t in exports:
+        if f is not None and n is not None:
+            old = known.get((f, n))
+            types = [x for x in (t, old and old[0]) if x is not None]
+            known[f, n] = (min(types, default=None), f, n, 0, True)
+    shadow = {(f, local) for f, local, s, n, _, _ in named if None not in (f, local, s, n)}
+    hops = 0
+    fresh = dict(known)
+    while fresh:
+        hops += 1
+        offers = {}
+        for f, local, s, n, pos, again in named:
+            got = fresh.get((s, n))
+            if f is not None and local is not None and got and got[4]:
+                offers.setdefault((f, local), []).append((pos, s, got, bool(again)))
+        for f, s, pos, again in wild:
+            for (g, n), got in fresh.items():
+                if f is not None and g == s and got[4] and (f, n) not in shadow:
+                    offers.setdefault((f, n), []).append((pos, s, got, bool(again)))
+        fresh = {}
+        for key, own in offers.items():
+            if key not in known:
+                pos, s, got, again = min(own, key=lambda x: (x[0], x[1], x[2][1], x[2][2], x[2][0] is not None, x[2][0] or "", x[3]))
+                fresh[key] = (got[0], got[1], got[2], hops, again)
+        known |= fresh
+    return known
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_bindings_on_cyclic_imports(spark, seed):
+    r = random.Random(seed)
+    files, names = [f"f{i}" for i in range(14)], ["x", "y", "z"]
+    exports = [(r.choice(files), r.choice(names), r.choice(["A", "B", None])) for _ in range(9)] + [(None, "x", "A"), ("f1", None, "A")]
+    named = [(r.choice(files), r.choice(names), r.choice(files), r.choice(names), r.randrange(3), r.choice([True, True, False, None])) for _ in range(16)] + [("f1", "x", None, "x", 0, True)]
+    wild = [(r.choice(files), r.choice(files), r.randrange(3), r.choice([True, True, False])) for _ in range(22)] + [("f2", "f3", 0, True), ("f3", "f4", 0, True), ("f4", "f2", 0, True)]
+    got = resolution.propagate_bindings(
+        spark.createDataFrame(exports, "file string, name string, type string"), spark.createDataFrame(named, "file string, local string, source string, name string, pos int, reexport boolean"),
+        spark.createDataFrame(wild, "file string, source string, pos int, reexport boolean"),
+    ).collect()
+    assert {(r.file, r.name): (r.type, r.origin, r.origin_name, r.hops, r.exported) for r in got} == bound(exports, named, wild)
+    assert len({(r.file, r.name) for r in got}) == len(got) > 20
