@@ -496,7 +496,7 @@ def encode_text(docs: DataFrame, column: str = "text", max_bytes: int = 1_000_00
     those of the two names and ``column``.
     """
     keep = [c for c in docs.columns if c not in (column, "n_bytes", "media")]
-    base = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{column}`").alias("__text"))
+    base = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)), F.col(f"`{column}`").alias("text"))
     schema = with_fields(docs.select(*(F.col(f"`{c}`") for c in keep)), "n_bytes long, media binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.common import stage
+from skein.llm.common import names_aside, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 DEFAULT_WEIGHTS = (5.0, 2.0, 1.0)
@@ -87,6 +87,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, budget_sh
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "h")
 
 
+@names_aside("doc_id", "text", "source")
 def take_mix(docs: DataFrame, **params) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as ``mix`` takes it. All columns are kept, whatever their names.
 
@@ -106,7 +107,7 @@ def take_mix(docs: DataFrame, **params) -> DataFrame:
     renamed = one.select(F.col("doc_id").alias("doc_id_"), F.col("size").alias("size_"), F.col("source").alias("source_"), F.col("c").alias(n), F.col("rows").alias(at))
     alone = base.join(renamed.where(F.col(at) == 1), match).withColumn(n, F.col(n).cast("int"))
     several = base.join(renamed.where(F.col(at) > 1), match)
-    turn = F.row_number().over(W.partitionBy(key, size, source).orderBy(F.lit(1)))
+    turn = F.row_number().over(W.partitionBy(key, size, source).orderBy(F.xxhash64("text")))
     several = several.withColumn("turn_", turn).withColumn(n, (F.floor(F.col(n) / F.col(at)) + (F.col("turn_") <= F.col(n) % F.col(at)).cast("int")).cast("int"))
     kept = [*(F.col(f"`{c}`") for c in names), F.col(n)]
     both = alone.select(*kept).unionByName(several.select(*kept))
