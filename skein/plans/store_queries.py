@@ -10,6 +10,7 @@ from skein.operators.fulltext import TextIndex
 from skein.sources.graph import Tables
 from skein.sources.snapshots import SnapshotStore
 from skein.sources.staging import new_folder
+from skein.streaming import events
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -134,3 +135,13 @@ def frontier_search(t: Tables) -> DataFrame:
     queries = q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     found, told = ann.frontier_search(queries, seeds, lambda sources: store.load(sources=sources), rows.select("id", "vector", F.lit(False).alias("stale")))
     return found.join(told, "query_id").select("query_id", "id", F.round("score", 6).alias("score"), "rank", "visited", "truncated", "reason")
+
+
+# --- events ---------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS changes, count(*) FILTER (event_type = 'error') AS errors, max(ts) AS latest FROM events GROUP BY user_id""")
+def event_store_projection(t: Tables) -> DataFrame:
+    """The projection of a store that events were appended to in four epochs, one of them twice."""
+    rows = t.events.select("user_id", "event_id", "ts", "event_type")
+    return events.in_epochs(rows, 4).projection().select("user_id", "status", "changes", "errors", "latest")

@@ -88,10 +88,10 @@ class SnapshotStore:
         lines = back.groupBy(BUCKET).agg(F.count("*").alias("rows"), F.sum(_row_hash(df.columns)).cast("string").alias("hash")).collect()  # one a bucket
         return {str(r[BUCKET]): {"path": f"{folder}/{BUCKET}={r[BUCKET]}", "rows": r["rows"], "hash": r["hash"]} for r in lines}
 
-    def write(self, df: DataFrame) -> int:
-        """All rows of ``df`` as the next version."""
+    def write(self, df: DataFrame, note: dict | None = None) -> int:
+        """All rows of ``df`` as the next version. ``note`` is kept in its manifest."""
         version = (self.versions() or [0])[-1] + 1
-        self._publish({"version": version, "buckets": self.buckets, "schema": df.schema.jsonValue(), "files": self._write(df, version)})
+        self._publish({"version": version, "buckets": self.buckets, "schema": df.schema.jsonValue(), "files": self._write(df, version), "note": note or {}})
         return version
 
     def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
@@ -103,7 +103,7 @@ class SnapshotStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{files[b]}" for b in sorted(files)))
 
-    def refresh(self, upserts: DataFrame, deletes: DataFrame | None = None) -> int:
+    def refresh(self, upserts: DataFrame, deletes: DataFrame | None = None, note: dict | None = None) -> int:
         """The next version: rows of the keys in ``upserts`` replaced or added, those in ``deletes`` (the key's columns)
         gone; a key in both is replaced. ``upserts`` has the table's columns and all rows of its keys. Only buckets that hold one
         of these keys are read and written, the others keep their files; without changes the version has the same files."""
@@ -120,7 +120,7 @@ class SnapshotStore:
         if touched:
             stay = self.read(before["version"], touched).alias("a").join(keys.distinct().alias("b"), _same(self.key), "left_anti")
             files |= self._write(stay.unionByName(new), version)
-        self._publish({**before, "version": version, "files": files})
+        self._publish({**before, "version": version, "files": files, "note": note or {}})
         return version
 
     def changed(self, old: int, new: int) -> DataFrame:
