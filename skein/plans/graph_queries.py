@@ -516,7 +516,7 @@ def ancestors(t: Tables) -> DataFrame:
     return traversal.bfs(parent, seeds, 8).where("depth > 0").select(F.col("seed").alias("id"), F.col("id").alias("ancestor"), F.col("depth").cast("int").alias("depth"))
 
 
-for _f in (dead_code, find_related, reachability_closure, neighbourhood_two_hops, execution_flows, flow_steps, pagerank_global, document_walk, communities, community_cohesion, community_modularity, surprising_connections):
+for _f in (diamond_pattern, dead_code, find_related, reachability_closure, neighbourhood_two_hops, execution_flows, flow_steps, pagerank_global, document_walk, communities, community_cohesion, community_modularity, surprising_connections):
     whole_graph(_f, QUERIES, SQL)
 for _f in (connected_components, strongly_connected, cycle_summary, topological_levels):
     whole_graph(_f, QUERIES, SQL, slow=True)
