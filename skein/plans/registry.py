@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("graph_queries", "relational_queries", "search_queries", "state_queries", "analysis_queries", "community_queries", "store_queries", "resolution_queries")
+MODULES: tuple[str, ...] = ("graph_queries", "relational_queries", "search_queries", "state_queries", "analysis_queries", "community_queries", "store_queries", "resolution_queries", "subgraph_queries")
 
 
 def _modules():
