@@ -28,7 +28,7 @@ from skein.llm.common import discard, names_aside
 from skein.llm.common import stage as stage_table
 from skein.llm.shingles import mix, shingle_sets
 from skein.llm.textbatch import flat_bytes, slices
-from skein.operators.components import connected_components
+from skein.operators.components import connected_components, smallest_ends, stars
 
 stage = functools.partial(stage_table, broadcast=False)
 
@@ -270,7 +270,9 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     ub = F.least("pos", "p.pos") + F.least(F.col("n") - F.col("pos"), F.col("p.n") - F.col("p.pos"))
     star = star.where(_enough(F.col("n"), F.col("p.n"), ub, num, den)).select(*ordered("cls", "p.cls")).distinct()
     links = verified(star, "links1")
-    comps = connected_components(links, rounds=2)
+    # after a few rounds a set may have several ends: later rounds go on from all edges, the labels only say who has met
+    known = stars(links, rounds=2)
+    comps = smallest_ends(known)
 
     def mixed_keys(comps: DataFrame) -> DataFrame:
         """Rows of the shingles whose sets are not known as connected, with the component of most of them. A shingle of
@@ -285,9 +287,9 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     pick = mixed.where("comp = major").groupBy("key").agg(F.array_distinct(F.array(*some)).alias("ps")).select("key", F.explode("ps").alias("p"))
     tries = mixed.where("comp != major").join(pick, "key").where(_enough(F.col("n"), F.col("p.n"), ub, num, den)).select(*ordered("cls", "p.cls")).distinct()
     found = verified(tries, "links2")
-    links = found.unionByName(comps.select(F.col("id").alias("src"), F.col("component").alias("dst")).where("src != dst"))
-    comps = connected_components(links, rounds=2)
-    discard(mixed, found)
+    before, known = known, stars(found.unionByName(known.toDF("src", "dst")), rounds=2)
+    comps = smallest_ends(known)
+    discard(mixed, found, before)
 
     # last round: the sets outside a shingle's largest component meet all of other components
     near = stage(mixed_keys(comps).join(sets.select("cls", "coarse"), "cls"), "near")
@@ -299,14 +301,14 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     may = F.col("coarse_x").isNull() | F.col("coarse_y").isNull() | _enough(F.col("n_x"), F.col("n_y"), _shared("coarse_x", "coarse_y"), num, den)
     meet = minor.join(other, "key").where((F.col("comp_x") != F.col("comp_y")) & (F.col("main") | (F.col("cls_x") < F.col("cls_y"))) & fresh & _enough(F.col("n_x"), F.col("n_y"), ub, num, den) & may)
     more = verified(meet.select(*ordered("cls_x", "cls_y")).distinct(), "links3")
-    final = connected_components(more.unionByName(comps.select(F.col("id").alias("src"), F.col("component").alias("dst")).where("src != dst")))
+    final = connected_components(more.unionByName(known.toDF("src", "dst")))
 
     named_docs = profile.join(final.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls"))
     lowest = named_docs.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("low"))
     out = named_docs.join(lowest, "root", "left")
     own = F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id"))
     out = stage(out.select("doc_id", F.col("n").alias("n_shingles"), "cls", "th", "root", own.alias("component_id"), F.lit(repeats).alias("repeats")), "found")
-    discard(both, sets, shared, texts, near, more, *tried)
+    discard(both, sets, shared, texts, near, more, known, *tried)
     return out
 
 
