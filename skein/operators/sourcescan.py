@@ -7,6 +7,8 @@ the JVM; what depends on the lines before is a window per file or, where a state
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,24 +44,36 @@ def error_checks(lines: DataFrame, within: int = 8) -> DataFrame:
 
 def lock_inversions(lines: DataFrame) -> DataFrame:
     """``a, b, files``: locks that are taken in both orders, with the number of files that do either."""
-    orders = lines.select("file", "line_no", "line").groupBy("file").applyInPandas(_lock_orders, "file string, outer string, inner string")
-    pairs = orders.distinct()
-    back = pairs.select(F.col("outer").alias("inner"), F.col("inner").alias("outer"), F.col("file").alias("file2"))
-    both = pairs.join(back, ["outer", "inner"]).where("outer < inner")
-    return both.select(F.col("outer").alias("a"), F.col("inner").alias("b"), F.explode(F.array("file", "file2")).alias("f")).groupBy("a", "b").agg(F.count_distinct("f").alias("files"))
-
-
-def _lock_orders(pdf: pd.DataFrame) -> pd.DataFrame:
-    held: list[str] = []
-    out = []
-    for line in pdf.sort_values("line_no")["line"]:
-        for op, name in re.findall(r"\b(lock|unlock)\(\s*&?(\w+)\s*\)", line):
-            if op == "lock":
-                out += [(h, name) for h in held if h != name]
-                held.append(name)
-            elif name in held:
-                held.remove(name)
-    return pd.DataFrame({"file": [pdf["file"].iloc[0]] * len(out), "outer": [a for a, _ in out], "inner": [b for _, b in out]}, dtype=object)
+    said = lines.select("file", "line_no", "line").where(F.col("line").rlike(r"\b(lock|unlock)\("))
+    pairs = said.repartition("file").sortWithinPartitions("file", "line_no").mapInPandas(_lock_orders, "file string, outer string, inner string")
+    # who takes two locks in either order is counted once for each file, so no file meets another
+    per = pairs.groupBy(F.least("outer", "inner").alias("a"), F.greatest("outer", "inner").alias("b"), "file").agg(F.max(F.col("outer") < F.col("inner")).alias("there"), F.max(F.col("outer") > F.col("inner")).alias("back"))
+    return per.groupBy("a", "b").agg(F.count("file").alias("files"), F.max("there").alias("there"), F.max("back").alias("back")).where("there AND back").select("a", "b", "files")
+
+
+def _lock_orders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each pair of locks that a file takes one in the other; lines come sorted by file, and a file may span frames."""
+    own, held, out = None, Counter(), set()
+
+    def told() -> pd.DataFrame:
+        return pd.DataFrame({"file": [own] * len(out), "outer": [a for a, _ in out], "inner": [b for _, b in out]}, dtype=object)
+
+    for pdf in frames:
+        for file, line in zip(pdf["file"], pdf["line"], strict=True):
+            if file != own:
+                if out:
+                    yield told()
+                own, held, out = file, Counter(), set()
+            for op, name in re.findall(r"\b(lock|unlock)\(\s*&?(\w+)\s*\)", line):
+                if op == "lock":
+                    out.update((h, name) for h in held if h != name)
+                    held[name] += 1
+                elif held[name] > 1:
+                    held[name] -= 1
+                else:
+                    del held[name]
+    if out:
+        yield told()
 
 
 def taint(lines: DataFrame, sources: str, sanitizers: str, sinks: str, most: int | None = None) -> DataFrame:
