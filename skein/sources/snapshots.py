@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from skein.sources.staging import CLEANUP, settings
+
 BUCKET = "_bucket"
 
 
@@ -83,7 +85,8 @@ class SnapshotStore:
         folder = f"data/v{version:08d}-{uuid.uuid4().hex[:8]}"
         # buckets of many rows are split into several tasks
         dealt = df.withColumn(BUCKET, self.bucket()).hint("rebalance", F.col(BUCKET)).sortWithinPartitions(BUCKET, *self.key)
-        dealt.write.partitionBy(BUCKET).option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        with settings(self.spark, {CLEANUP: "true"}):  # shuffle files go when the write ends
+            dealt.write.partitionBy(BUCKET).option("compression", "zstd").parquet(f"{self.root}/{folder}")
         back = self.spark.read.schema(StructType([*df.schema.fields, StructField(BUCKET, IntegerType())])).parquet(f"{self.root}/{folder}")
         lines = back.groupBy(BUCKET).agg(F.count("*").alias("rows"), F.sum(_row_hash(df.columns)).cast("string").alias("hash")).collect()  # one a bucket
         return {str(r[BUCKET]): {"path": f"{folder}/{BUCKET}={r[BUCKET]}", "rows": r["rows"], "hash": r["hash"]} for r in lines}

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from skein.operators import scoring, search
+from skein.operators import fulltext, scoring, search
 from skein.plans import search_queries
 from tests.oracle import differences
 from tests.test_skew import largest_rows
@@ -36,3 +36,10 @@ def test_queries_and_postings_form_no_pairs(spark):
     df = search.bm25(docs, queries, 2)
     assert df.count() == 600
     assert largest_rows(spark, df) <= 3 * 400 + 3 * 300 * 12
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    docs = spark.createDataFrame([("File", f"d{i}", ["a b", "b c b"]) for i in range(3)], "tbl string, doc string, fields array<string>")
+    df = fulltext.postings(docs, stems=False)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.term, tuple(r.tfs), r.len) for r in df.collect()} == {("", (1, 1), 5), ("a", (1, 0), 5), ("b", (1, 2), 5), ("c", (0, 1), 5)}
