@@ -52,3 +52,16 @@ def test_fanout_forms_no_pairs(spark):
     want = {u: (len(v), v[0]) for u, v in want.items()}
     assert {r.uid: (r.consumers, r.first) for r in df.collect()} == want
     assert largest_rows(spark, df) <= 4 * len(c)
+
+
+def test_pairs_are_counted_by_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PAIRS", 50)
+    rows = [(b, (b * 7 + i * i) % 40) for b in range(60) for i in range(5)]
+    df = joins.basket_pairs(spark.createDataFrame(rows, "basket long, item long"), "basket", "item")
+    want = {}
+    for b in range(60):
+        own = sorted({i for x, i in rows if x == b})
+        for p in ((x, y) for x in own for y in own if x < y):
+            want[p] = want.get(p, 0) + 1
+    assert {(r.a, r.b): r.together for r in df.collect()} == want
+    assert df.rdd.getNumPartitions() >= sum(want.values()) // 50
