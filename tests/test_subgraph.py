@@ -53,3 +53,18 @@ def test_subgraphs(spark, hops, max_nodes, max_edges):
         shape = "\n".join(sorted({f"{label[s]} -{t}-> {label[d]}" for s, d, t in kept}))
         triples = "\n".join(f"{label[s]}:{s} {t} {label[d]}:{d}" for s, d, t in kept)
         assert text[ctx] == (shape[:60], triples[:60], len(shape) > 60 or len(triples) > 60)
+
+
+def test_a_node_near_many_contexts_is_a_row_for_each_64(spark, monkeypatch):
+    seeds = [(f"c{i:03d}", "hub" if i % 2 else f"n{i:03d}") for i in range(150)]
+    nodes = [("hub", "H"), ("far", "F")] + [(f"n{i:03d}", "N") for i in range(150)]
+    edges = [(f"n{i:03d}", "hub", "X") for i in range(0, 150, 2)] + [("hub", "far", "X"), ("n001", "far", "Y"), ("n000", "gone", "X")]
+    kept, before = [], subgraph.stage
+    monkeypatch.setattr(subgraph, "stage", lambda df, name: kept.append((name, before(df, name))) or kept[-1][1])
+    frame = lambda rows, cols: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
+    shown, linked, counts = subgraph.subgraphs(frame(seeds, ("ctx", "id")), frame(nodes, ("id", "label")), frame(edges, ("src", "dst", "type")), 2, 70, 3)
+    want = brute(seeds, nodes, edges, 2, 70, 3)
+    assert {c.ctx: (c.nodes, c.edges, c.shown_nodes, c.shown_edges, c.cut_nodes, c.cut_edges, c.open_edges) for c in counts.collect()} == {k: v[2] for k, v in want.items()}
+    assert sorted((x.ctx, x.id) for x in shown.collect()) == sorted((k, i) for k, v in want.items() for i in v[0])
+    assert sorted((x.ctx, x.src, x.dst, x.type) for x in linked.collect()) == sorted((k, *x) for k, v in want.items() for x in v[1])
+    assert max(df.count() for name, df in kept if name == "near") <= 3 * len(nodes)  # 150 contexts are three blocks
