@@ -1,9 +1,11 @@
 """Queries on pairs of edges, in shares and without rows that the result doesn't hold."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import traversal
+from skein.operators import blocks, traversal
 from skein.plans import graph_queries
 from tests.oracle import connect, differences
 from tests.test_skew import SF, largest_rows
@@ -26,3 +28,19 @@ def test_rounds_use_no_broadcast(spark, monkeypatch):
     monkeypatch.setattr(traversal, "stage", lambda *a, **k: pytest.fail("a round that may broadcast"))
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
     assert {r.id: r.scc for r in traversal.strong_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+@pytest.mark.parametrize("size", [1, 40, 1_000_000])
+def test_strong_components_whatever_lies_in_blocks(spark, monkeypatch, size):
+    r = random.Random(5)
+    rows = [(100 * c + r.randrange(n), 100 * c + r.randrange(n)) for c, n in enumerate([3, 8, 20, 30, 40]) for _ in range(n + n // 3)] + [(900, 900)]
+    reach = {a: {a} for e in rows for a in e}
+    for _ in reach:
+        for a, b in rows:
+            reach[a] |= reach[b]
+    want = {a: min(b for b in reach[a] if a in reach[b]) for a in reach}
+    monkeypatch.setattr(blocks, "BLOCK", size)
+    if size > 100:  # nothing is left to rounds
+        monkeypatch.setattr(traversal, "_by_colours", lambda e: pytest.fail("rounds over small components"))
+    got = traversal.strong_components(spark.createDataFrame(rows, "src long, dst long"))
+    assert {x.id: x.scc for x in got.collect()} == want
