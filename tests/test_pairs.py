@@ -44,3 +44,19 @@ def test_strong_components_whatever_lies_in_blocks(spark, monkeypatch, size):
         monkeypatch.setattr(traversal, "_by_colours", lambda e: pytest.fail("rounds over small components"))
     got = traversal.strong_components(spark.createDataFrame(rows, "src long, dst long"))
     assert {x.id: x.scc for x in got.collect()} == want
+
+
+@pytest.mark.parametrize("size", [20, 1_000_000])
+def test_hops_and_diamonds_whatever_lies_in_blocks(spark, monkeypatch, size):
+    r = random.Random(6)
+    rows = sorted({(100 * c + r.randrange(n), 100 * c + r.randrange(n)) for c, n in enumerate([4, 6, 15]) for _ in range(3 * n)} | {(900, 900)})
+    strong = {e: i % 3 > 0 for i, e in enumerate(rows)}
+    monkeypatch.setattr(blocks, "BLOCK", size)
+    if size > 100:  # no rows of pairs are shuffled
+        monkeypatch.setattr(traversal, "_in_shares", lambda *a: pytest.fail("joins over small components"))
+    got = traversal.diamonds(spark.createDataFrame([(*e, s) for e, s in strong.items()], "src long, dst long, strong boolean"))
+    want = [(a, b, c, d) for a, b in rows for b2, d in rows if b2 == b and a != d and strong[a, b] and strong[b, d] for a2, c in rows if a2 == a and c != b and (c, d) in strong]
+    assert sorted(tuple(x) for x in got.select("a", "b", "c", "d").collect()) == sorted(want)
+    near = {i: {a + b - i for a, b in rows if i in (a, b) and a != b} for e in rows for i in e}
+    want = {i: len(set().union(n, *(near[j] for j in n)) - {i}) for i, n in near.items() if n}
+    assert {x.id: x.within_two for x in traversal.within_two(spark.createDataFrame(rows, "src long, dst long")).collect()} == want
